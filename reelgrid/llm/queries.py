@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrid.llm import bpe, packing
+from reelgrid.llm import bpe, packing, truncation
 from reelgrid.session import table
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of which the end was lost."""
+    return truncation.truncated(table(spark, sf, "recheck_answers")).select("answer_id")
+
+
+def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of truncated answers for each run."""
+    return truncation.truncation_rates(table(spark, sf, "recheck_answers"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of each document."""
     return bpe.encode(table(spark, sf, "documents"))
@@ -23,5 +33,5 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(p7_packed(spark, sf), table(spark, sf, "pack_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_packed, p7_fill)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_rates, p6_ids, p7_packed, p7_fill)}
 SQL: dict[str, str] = {}
