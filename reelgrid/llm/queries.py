@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrid.llm import bpe, packing, truncation
+from reelgrid.llm import bpe, packing, spam, truncation
 from reelgrid.session import table
 
 
@@ -33,5 +33,10 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(p7_packed(spark, sf), table(spark, sf, "pack_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_rates, p6_ids, p7_packed, p7_fill)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages made for searchers."""
+    return spam.searcher_pages(table(spark, sf, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_rates, p6_ids, p7_packed, p7_fill, p8_found)}
 SQL: dict[str, str] = {}
