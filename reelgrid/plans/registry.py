@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrid.plans import evaluation, problems
+from reelgrid.plans import evaluation, problems, reports
 
-MODULES = [evaluation, problems]
+MODULES = [evaluation, reports, problems]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
