@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.functions.text import key_text
 from reelgrid.functions.times import epoch_us
-from reelgrid.operators import changes, labelstore, lineage, numbering, tensors, timeseries
+from reelgrid.operators import changes, labelstore, lineage, numbering, spans, tensors, timeseries
 from reelgrid.operators import evaluate as ev
 from reelgrid.plans.evaluation import BEST
 from reelgrid.session import cut, shared_dir, table
@@ -232,7 +232,13 @@ def decision_margin(spark: SparkSession, sf: str) -> DataFrame:
     return tensors.margins(table(spark, sf, "embeddings"), "label")
 
 
-_ALL = (history_fold, history_diff, poll_since, label_meta, progress_counts, assignment_summary, auto_assign, next_unlabeled, clip_list_page, active_claims, save_conflicts, import_counts, ego_summary, unwrap_heading, stopped_seconds_2hz, ego_window_join, asof_backward, asof_forward, future_horizon, valid_segments, path_gradient, per_class_quota, chunking, shard_stride_antijoin, text_fingerprint, index_fingerprint, index_last_wins, source_priority, config_diff, attention_ratio, spatial_means, sink_mask, sink_summary, decision_margin)
+def span_snap(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored spans of each result row on whole seconds."""
+    rows = table(spark, sf, "clip_results").select("run_id", "uuid", "shard_no", "loaded_at", "time_spans")
+    return spans.snap(spans.read_scored(rows), ["run_id", "uuid", "shard_no", "loaded_at", "class_name"])
+
+
+_ALL = (span_snap, history_fold, history_diff, poll_since, label_meta, progress_counts, assignment_summary, auto_assign, next_unlabeled, clip_list_page, active_claims, save_conflicts, import_counts, ego_summary, unwrap_heading, stopped_seconds_2hz, ego_window_join, asof_backward, asof_forward, future_horizon, valid_segments, path_gradient, per_class_quota, chunking, shard_stride_antijoin, text_fingerprint, index_fingerprint, index_last_wins, source_priority, config_diff, attention_ratio, spatial_means, sink_mask, sink_summary, decision_margin)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _EV = "ev AS (SELECT * EXCLUDE (uuid), lower(trim(uuid)) AS uuid FROM labels_store)"
