@@ -11,7 +11,7 @@ def split_classes(cell: Column, trim: bool = True) -> Column:
     else as written, nothing for a blank cell."""
     parts = F.split(F.coalesce(cell, F.lit("")), r"\|")
     if trim:
-        return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+        return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.trim(F.coalesce(cell, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(parts)
 
 

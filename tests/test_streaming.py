@@ -2,9 +2,18 @@
 
 import json
 
+import pytest
+
 from reelgrid.streaming import store
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_fold_and_poll(spark, tmp_path):
     events = [{"seq": i, "ts": "t", "user": f"u{i % 3}", "uuid": f"c{i % 7}", "action": "update", "rev": 1, "after": str(i)} for i in range(40)]
     src = tmp_path / "in"
