@@ -43,13 +43,15 @@ CANDIDATE = 0.4
 ENOUGH = 50
 #: Steps of the ratio in which blocks are counted.
 BINS = 200
+#: Words that a page must have before their repetition counts.
+FEW_WORDS = 12
 #: Share of the text that must draw searchers.
 SHARE = 0.5
 
 # fixed values: words of trade in the languages of the corpus, without marks on letters
 TRADE = set(
     """
-    best buy cheap cheapest compare coupon coupons deal deals discount lowest offer order price prices quotes rated review reviews sale shipping online 24h
+    best buy cheap cheapest compare coupon coupons deal deals discount find get looking lowest nearme offer order price prices quotes rated review reviews sale shipping online 24h
     angebot billig gunstig gunstige gutschein kaufen nahe online preis sofort test bestellen rabatt
     acheter avis cher ligne livraison meilleur pas prix promo gratuit solde
     barato baratos barata baratas cerca comprar envio linea mejor oferta ofertas opiniones precio descuento
@@ -58,7 +60,7 @@ TRADE = set(
     """.split()
 )
 # fixed values: words that mark a number as that of a ware
-STOCK = r"(?:sku|ref|ean|art|item|no|арт|nr|품번)"
+STOCK = r"(?:sku|ref|ean|art|id|item|no|арт|nr|품번)"
 
 _ADDRESS_TEXT = r"(?:(?:https?|hxxps?|ftp):)?//[^\s\]|<>\"']+|www\.[^\s\]|<>\"']+"
 _TAGGED = re.compile(rb"#[^\s#,;|]{3,}")
@@ -88,7 +90,7 @@ def plain(text: str) -> str:
     """Lower case, without marks on letters, and with digits inside words read as letters."""
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return text.lower()
+    return text.lower().replace("near me", "nearme")
 
 
 def _words(text: str) -> list[str]:
@@ -198,7 +200,7 @@ def drawing_share(text: str, title: str | None) -> float:
         n, trade, often = len(words), trades[i], 3 if count > 60 and len(words) < 12 else 2
         if trade * 4 >= n or (trade * 8 >= n and near[i] and near[i + 2]):
             drawn += size
-        elif not ended:
+        elif not ended and count >= FEW_WORDS:
             again = sum(seen[w] >= often for w in words)
             if again * 2 > n and (n < 12 or again >= 0.6 * n) or (n <= 4 and max(seen[w] for w in words) >= 4):
                 drawn += size
