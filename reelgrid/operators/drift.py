@@ -191,12 +191,18 @@ def drift(table: DataFrame) -> DataFrame:
     # clips of both files, with the values of the fields that only one of them has
     top = ~F.col("field").isin(*NESTED)
     lists = changed.groupBy("set_id", "from", "to").agg(F.collect_set(F.when(F.col("new_types").isNull() & top, F.col("field"))).alias("gone"), F.collect_set(F.when(F.col("old_types").isNull() & top, F.col("field"))).alias("come")).where("size(gone) > 0 AND size(come) > 0")
-    clips = rows.groupBy("set_id", "file_name", "uuid").agg(F.max_by("_shape", F.struct("line_no", F.col("_shape").cast("string"))).alias("shape"))
-    pick = lambda names: F.map_from_entries(F.transform(F.filter("shape", lambda s: F.array_contains(names, s["field"]) & s["value"].isNotNull()), lambda s: F.struct(s["field"], F.struct(s["type"].alias("t"), s["value"].alias("v")))))
-    earlier = clips.join(lists.withColumnRenamed("from", "file_name"), ["set_id", "file_name"]).select("set_id", F.col("file_name").alias("from"), "to", "uuid", "gone", "come", pick("gone").alias("a"))
-    later = clips.join(lists.select("set_id", F.col("to").alias("file_name"), "from", "come"), ["set_id", "file_name"]).select("set_id", "from", F.col("file_name").alias("to"), "uuid", pick("come").alias("b"))
-    pairs = earlier.join(later, ["set_id", "from", "to", "uuid"])
-    cross = F.flatten(F.transform("gone", lambda g: F.transform("come", lambda c: F.struct(g.alias("field"), c.alias("new_field"), F.try_element_at("a", g).alias("x"), F.try_element_at("b", c).alias("y")))))
+    wanted = lambda names: F.array_sort(F.filter("_shape", lambda s: F.array_contains(names, s["field"]) & s["value"].isNotNull()))
+
+    def side(own: str, other: str, names: str, out: str) -> DataFrame:
+        """The fields in names of each clip of a file; other rows and fields aren't shuffled."""
+        mine = rows.join(lists.select("set_id", F.col(own).alias("file_name"), F.col(other).alias("_other"), "gone", "come"), ["set_id", "file_name"])
+        picked = mine.select("set_id", F.col("file_name").alias(own), F.col("_other").alias(other), "uuid", "line_no", wanted(names).alias("s"))
+        return picked.groupBy("set_id", "from", "to", "uuid").agg(F.max(F.struct("line_no", "s")).alias("m")).select("set_id", "from", "to", "uuid", F.col("m.s").alias(out))
+
+    pairs = side("from", "to", "gone", "a").join(side("to", "from", "come", "b"), ["set_id", "from", "to", "uuid"]).join(lists, ["set_id", "from", "to"])
+    value = lambda side, f: F.element_at(F.transform(F.filter(side, lambda s: s["field"] == f), lambda s: F.struct(s["type"].alias("t"), s["value"].alias("v"))), 1)
+    of = lambda side, f: F.when(F.exists(side, lambda s: s["field"] == f), value(side, f))
+    cross = F.flatten(F.transform("gone", lambda g: F.transform("come", lambda c: F.struct(g.alias("field"), c.alias("new_field"), of("a", g).alias("x"), of("b", c).alias("y")))))
     counted = pairs.select("set_id", "from", "to", F.explode(F.filter(cross, lambda p: p["x"].isNotNull() | p["y"].isNotNull())).alias("p"))
     votes = counted.groupBy("set_id", "from", "to", "p.field", "p.new_field").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("p.x") == F.col("p.y"), F.lit(False))).alias("same"))
     renamed = cut(votes.where(F.col("same") * RENAMED_SHARE[1] >= F.col("n") * RENAMED_SHARE[0]).select("set_id", "from", "to", "field", "new_field"))
