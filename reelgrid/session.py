@@ -20,15 +20,29 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder once and continue from the written copy."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> int:
+    """Delete what cut has written so far; results that still read it can't be computed any more."""
+    jvm = spark.sparkContext._jvm
+    gone = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

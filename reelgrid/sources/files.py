@@ -37,13 +37,12 @@ def read_results(spark: SparkSession, pattern: str, columns: Sequence[str] = RES
     Files may have former column names, lack columns (null) or have more (left out);
     each file's own header decides.
     """
-    def head_of(path: str) -> str:
-        return spark.read.option("multiLine", True).option("escape", '"').option("maxCharsPerColumn", -1).csv(path).limit(1).toPandas().iloc[0].fillna("").tolist()
-
-    files = [r.path for r in spark.read.format("binaryFile").load(pattern).select("path").collect()]
+    # one job finds every file's first line; only the files' names and headers come to the driver
+    lines = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), F.col("value"), F.monotonically_increasing_id().alias("at"))
+    heads = lines.groupBy("path").agg(F.min_by("value", "at").alias("head")).collect()
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for f in sorted(files):
-        by_header.setdefault(tuple(head_of(f)), []).append(f)
+    for r in sorted(heads, key=lambda r: r.path):
+        by_header.setdefault(tuple(next(csv.reader([r.head.lstrip("\ufeff")]))), []).append(r.path)
     parts = []
     for header, paths in by_header.items():
         schema = ", ".join(f"`{h or f'_c{i}'}` string" for i, h in enumerate(header))
