@@ -161,7 +161,7 @@ SQL = {
     "parse_answers": "SELECT answer_id, present, score, reason, parse_ok FROM recheck_answers",
     "tier_score": f"WITH {BEST}, {_KV.format('run_id, uuid', 'best')} SELECT b.run_id, b.uuid, max(v) FILTER (v BETWEEN 0 AND 4) AS tier FROM best b LEFT JOIN packed p ON b.run_id = p.run_id AND b.uuid = p.uuid GROUP BY ALL",
     "slug_keys": "SELECT class_name, trim(regexp_replace(lower(group_name), '[^a-z0-9]+', '_', 'g'), '_') AS group_key, trim(regexp_replace(lower(class_name), '[^a-z0-9]+', '_', 'g'), '_') AS class_key FROM taxonomy",
-    "chunk_parse": f"WITH {_CHUNKS} SELECT event_id, received_at, count(*) AS n, min(v) AS least, max(v) AS greatest, sum(v)::BIGINT AS total FROM n GROUP BY ALL",
+    "chunk_parse": f"WITH {_CHUNKS} SELECT event_id, received_at, count(*)::INT AS n, min(v) AS least, max(v) AS greatest, sum(v)::BIGINT AS total FROM n GROUP BY ALL",
     "chunk_format": f"""WITH {_CHUNKS}, g AS (SELECT *, v - row_number() OVER (PARTITION BY event_id, received_at ORDER BY v) AS island FROM n),
 r AS (SELECT event_id, received_at, min(v) AS lo, CASE WHEN min(v) = max(v) THEN min(v)::VARCHAR ELSE min(v) || '-' || max(v) END AS t FROM g GROUP BY event_id, received_at, island)
 SELECT event_id, received_at, string_agg(t, ', ' ORDER BY lo) AS spec FROM r GROUP BY ALL""",
@@ -176,7 +176,7 @@ SELECT g.run_id, g.name, g.v, coalesce(n, 0) AS n, coalesce(n, 0) / nullif(r, 0)
     "class_frequency_gui": _FREQ.format(best=BEST, names=f"list_distinct({_NAMES})"),
     "classes_per_clip": f"WITH {BEST} SELECT run_id, len({_NAMES})::INT AS n_classes, count(*) AS n FROM best GROUP BY ALL",
     "cooccur_topk": f"""WITH {BEST}, u AS (SELECT DISTINCT run_id, uuid, unnest({_NAMES}) AS c FROM best), p AS (SELECT x.run_id, x.c AS a, y.c AS b, count(*) AS n, min(x.uuid) AS first FROM u x JOIN u y ON x.run_id = y.run_id AND x.uuid = y.uuid AND x.c < y.c GROUP BY ALL)
-SELECT run_id, a, b, n, place FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, first, a, b) AS place FROM p) WHERE place <= 10""",
+SELECT run_id, a, b, n, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, first, a, b) AS place FROM p) WHERE place <= 10""",
     "overview": f"WITH {BEST}, b AS (SELECT *, len({_NAMES}) AS k FROM best) SELECT run_id, count(*) AS n, count(*) FILTER (k > 0) AS n_special, count(*) FILTER (k = 0) AS n_normal, count(*) FILTER (coalesce(n_frames, 0) <= 0) AS n_failed, count(*) FILTER (coalesce(parse_ok, 0) <> 1) AS n_unparsed, avg(k) FILTER (k > 0) AS mean_classes FROM b GROUP BY run_id",
     "search_mining": f"""WITH {BEST}, {_KV.format('run_id, uuid', 'best')}
 SELECT b.run_id, b.uuid, array_to_string({_NAMES}, '|') AS names, score_max FROM best b LEFT JOIN {_TOP} t ON b.run_id = t.run_id AND b.uuid = t.uuid
@@ -198,5 +198,5 @@ k AS (SELECT *, list_concat(list_distinct(names), list_filter(coalesce(cs, []),
 SELECT run_id, uuid, CASE WHEN cs IS NULL THEN verdict ELSE 'Special' END AS verdict, CASE WHEN cs IS NULL THEN n_classes ELSE len(every)::INT END AS n_classes,
   CASE WHEN cs IS NULL THEN classes ELSE array_to_string(list_concat(list_filter(names, lambda x, i: list_position(names, x) = i), list_filter(cs, lambda x: NOT list_contains(names, x))), '|') END AS classes,
   CASE WHEN cs IS NULL THEN tier_score ELSE m END AS tier_score,
-  CASE WHEN cs IS NULL THEN length(score_reason) ELSE (rl + CASE WHEN coalesce(score_reason, '') = '' THEN 0 ELSE length(score_reason) + 3 END)::INT END AS reason_length FROM k""",
+  (CASE WHEN cs IS NULL THEN length(score_reason) ELSE (rl + CASE WHEN coalesce(score_reason, '') = '' THEN 0 ELSE length(score_reason) + 3 END) END)::INT AS reason_length FROM k""",
 }

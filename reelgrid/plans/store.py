@@ -93,7 +93,7 @@ def clip_list_page(spark: SparkSession, sf: str) -> DataFrame:
 def active_claims(spark: SparkSession, sf: str) -> DataFrame:
     """Claims that hold at the middle of the events, read as claims of 40 clips."""
     e = table(spark, sf, "events").select(F.concat(F.lit("clip"), F.pmod("event_id", F.lit(40))).alias("uuid"), F.col("user_id").cast("string").alias("user_id"), "ts", F.col("event_id").alias("seq"))
-    return labelstore.active_claims(e, F.lit("2024-01-16 00:00:00").cast("timestamp"), 90_000)
+    return labelstore.active_claims(e, F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"), 90_000)
 
 
 def save_conflicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,7 +300,7 @@ SELECT c.uuid, beg, "end", lo, hi, count(*) AS n, avg(speed) AS speed FROM c JOI
     "asof_forward": f"WITH {_S} SELECT p.uuid, p.t_us, p.event_id AS id, v.speed, v.t_us AS at_us FROM (SELECT * FROM s WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM s WHERE event_type = 'view') v ON p.uuid = v.uuid AND p.t_us <= v.t_us",
     "future_horizon": f"WITH {_S} SELECT a.uuid, a.t_us, count(*) AS n, max(b.t_us) AS last_us, arg_max(b.x, b.t_us) - a.x AS travelled FROM s a JOIN s b ON a.uuid = b.uuid AND b.t_us BETWEEN a.t_us AND a.t_us + 20000000 GROUP BY a.uuid, a.t_us, a.x HAVING count(*) >= 2",
     "valid_segments": f"""WITH {_S}, m AS (SELECT *, event_type <> 'error' AS ok, row_number() OVER o - sum((event_type <> 'error')::INT) OVER (o ROWS UNBOUNDED PRECEDING) AS g FROM s WINDOW o AS (PARTITION BY uuid ORDER BY t_us)),
-r AS (SELECT uuid, g, count(*) AS n, min(t_us) AS from_us, max(t_us) AS to_us FROM m WHERE ok GROUP BY ALL) SELECT uuid, row_number() OVER (PARTITION BY uuid ORDER BY g) - 1 AS segment, n, from_us, to_us FROM r""",
+r AS (SELECT uuid, g, count(*) AS n, min(t_us) AS from_us, max(t_us) AS to_us FROM m WHERE ok GROUP BY ALL) SELECT uuid, (row_number() OVER (PARTITION BY uuid ORDER BY g) - 1)::INT AS segment, n, from_us, to_us FROM r""",
     "path_gradient": f"WITH {_S}, l AS (SELECT uuid, t_us, x, lag(x) OVER o AS b, lead(x) OVER o AS a FROM s WINDOW o AS (PARTITION BY uuid ORDER BY t_us)) SELECT uuid, t_us, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (a - b) / 2 ELSE coalesce(a - x, x - b) END AS slope FROM l",
     "per_class_quota": f"WITH {BEST} SELECT run_id, shard_no, classes, uuid FROM (SELECT *, row_number() OVER (PARTITION BY run_id, shard_no, classes ORDER BY loaded_at NULLS FIRST, uuid) AS k FROM best WHERE verdict = 'Special') WHERE k <= 3",
     "chunking": f"WITH {_CLIPS} SELECT uuid, (row_number() OVER (ORDER BY uuid) - 1) // 100 AS chunk_no FROM clips",
