@@ -120,11 +120,12 @@ LEFT JOIN (SELECT no, a, b, c FROM {view}_inside WHERE c = '...' AND n >= {NATUR
     ends.createOrReplaceTempView(f"{view}_ends")
 
     # counts of inside and end by trigram, last two words and last word
-    spark.sql(f"""
+    grams = spark.sql(f"""
 SELECT no, a, b, c, sum(i) AS i3, sum(t) AS t3 FROM (
   SELECT no, a, b, c, n AS i, 0L AS t FROM {view}_inside
   UNION ALL SELECT no, g.a, g.b, g.c, 0L, count(*) FROM {view}_ends GROUP BY no, g.a, g.b, g.c)
-GROUP BY no, a, b, c""").createOrReplaceTempView(f"{view}_grams")
+GROUP BY no, a, b, c""")
+    cut(grams).createOrReplaceTempView(f"{view}_grams")
     rare = spark.sql(rf"""
 WITH g3 AS (SELECT * FROM {view}_grams),
 g2 AS (SELECT no, b, c, sum(i3) AS i2, sum(t3) AS t2 FROM g3 GROUP BY no, b, c),
