@@ -40,19 +40,20 @@ def apply_answers(best: DataFrame, answers: DataFrame, min_score: int = 2) -> Da
     yes = last.where(F.col("present") & (F.col("score") >= min_score))
     hit = F.struct("answer_id", "class_name", "group_name", "score", "reason")
     grouped = yes.groupBy("run_id", "uuid").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
-    rows = best.join(grouped, ["run_id", "uuid"], "left")
+    rows = best.join(grouped, ["run_id", "uuid"], "left").withColumn("_old", parse_packed(F.col("group_scores")))
     some = F.col("hits").isNotNull()
     names = F.array_distinct(F.concat(split_classes(F.col("classes")), F.transform("hits", lambda h: h["class_name"])))
-    old = parse_packed(F.col("group_scores"))
+    old = F.col("_old")
 
     def raised() -> Column:
         groups = F.array_union(F.map_keys(old), F.transform("hits", lambda h: h["group_name"]))
         best_of = lambda g: F.array_max(F.transform(F.filter("hits", lambda h: h["group_name"] == g), lambda h: h["score"]))
         return F.map_from_entries(F.transform(groups, lambda g: F.struct(g, F.greatest(F.try_element_at(old, g), best_of(g)))))
 
+    rows = rows.withColumn("_raised", F.when(some, raised()))
     reasons = F.concat_ws(" | ", F.nullif("score_reason", F.lit("")), F.array_join(F.transform("hits", lambda h: F.concat(F.lit("recheck "), h["class_name"], F.lit(": "), F.coalesce(h["reason"], F.lit("")))), " | "))
     change = {
-        "classes": F.array_join(names, "|"), "n_classes": F.size(names), "verdict": F.lit("Special"), "group_scores": pack(raised()), "score_reason": reasons,
-        "tier_score": F.array_max(F.filter(F.map_values(raised()), lambda v: v.between(0, 4))),
+        "classes": F.array_join(names, "|"), "n_classes": F.size(names), "verdict": F.lit("Special"), "group_scores": pack(F.col("_raised")), "score_reason": reasons,
+        "tier_score": F.array_max(F.filter(F.map_values("_raised"), lambda v: v.between(0, 4))),
     }
     return rows.select(*[F.when(some, change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in best.columns])
