@@ -4,7 +4,14 @@ Word trigrams are counted inside texts and at their ends.  A text is a candidate
 last trigram is frequent inside texts but almost never their end.  Where a last trigram is
 too rare to tell, its last two words, then its last word decide.  A last word that is hardly
 a word of its own there counts the longer words that begin with it as inside, as it is a broken
-one.  A text counts itself out.
+one.  A text counts itself out, and so do its copies: as an end, a text of more than TERSE
+words counts once however often it stands.  Shorter ones ("no", "score = 0") count each time,
+as it is their repetition that shows them to be whole.
+
+An object that is never closed is cut for certain if it begins as JSON does and has more
+opening than closing braces, so such answers come out without the trigram test and aren't
+ends.  Those with as many closing ones may be whole, the last brace hidden by a wrong quote,
+and go through the test; those that don't begin so are prose.
 
 Trigrams are counted apart in an answer's JSON object, in the object's last string and in
 prose, as a sentence's end is a good end for prose, but not inside an object.  An exact
@@ -30,6 +37,8 @@ TERMINAL_SHARE = 0.2
 ENOUGH = 5
 #: Other texts that are enough where they all end so and none has it inside.
 ALONE = 2
+#: Words up to which each copy of a text counts as an end.
+TERSE = 12
 #: Times that texts must have an ellipsis inside for it to be a proper end.
 NATURAL = 3
 
@@ -37,6 +46,9 @@ _WORDS = r"""regexp_extract_all(lower(regexp_replace({}, r'\p{{N}}+', '0')), r'[
 #: What may follow the end of an answer or a break: fences, tags, and marks of omission.
 _AFTER = r"""r'(?s)(\s|`{1,3}|</?[a-z]*>?|\[…\]|\[\.\.\.\]|…)+$'"""
 
+#: How a JSON object begins, up to any place where it may be cut.
+_BEGINS = r"""r'(?s)^\{\s*("[^"]*("\s*([:=].*)?)?|\x27[^\x27]*(\x27\s*([:=].*)?)?)?$'"""
+
 _PARTS = rf"""
 SELECT id, source, raw, start,
   CASE WHEN start > 0 AND closed > 0 THEN substring(raw, start, closed) WHEN start > 0 THEN substring(raw, start) END AS object,
@@ -58,12 +70,13 @@ FROM (
 """
 
 def _streams(parts: str) -> str:
-    """Streams of an answer: 1 its object, 2 the object's last string, 3 its prose; open: it stops inside."""
+    """Streams of an answer: 1 its object, 2 the object's last string, 3 its prose; open: it stops inside, sure: certainly."""
+    more = "length(replace(object, '}', '')) > length(replace(object, '{', ''))"
     return rf"""
-SELECT id, source, inline(transform(parts, (p, i) -> named_struct('no', p.no, 'text', p.text, 'open', p.open, 'last', i = size(parts) - 1)))
+SELECT id, source, inline(transform(parts, (p, i) -> named_struct('no', p.no, 'text', p.text, 'open', p.open, 'sure', p.open AND more, 'last', i = size(parts) - 1)))
 FROM (
-  SELECT id, source, filter(array(
-      named_struct('no', 1, 'text', IF(open, regexp_replace(object, {_AFTER}, ''), object), 'open', open),
+  SELECT id, source, coalesce({more}, false) AS more, filter(array(
+      named_struct('no', 1, 'text', IF(open, regexp_replace(object, {_AFTER}, ''), object), 'open', open AND regexp_replace(object, {_AFTER}, '') RLIKE {_BEGINS}),
       named_struct('no', 2, 'text', IF(open, NULL, regexp_replace(regexp_extract(regexp_replace(object, r'(?s)\\.', '__'), r'"([^"]*)"[,\s]*\}}$', 1), {_AFTER}, '')), 'open', false),
       named_struct('no', 3, 'text', regexp_replace(regexp_replace(prose, r'^(\s|`{{3}}|</?[a-z]+>)+', ''), {_AFTER}, ''), 'open', false)),
     p -> p.text IS NOT NULL AND (p.text <> '' OR p.open)) AS parts
@@ -78,7 +91,7 @@ def _tails(streams: str) -> str:
     """Streams as words, an ellipsis at the end apart."""
     words = _WORDS.format("text")
     return rf"""
-SELECT id, source, no, open, last, words, words[size(words) - 1] = '...' AS dots, {_three("words", "size(words)")} AS g3,
+SELECT id, source, no, open, sure, last, words, words[size(words) - 1] = '...' AS dots, {_three("words", "size(words)")} AS g3,
   regexp_replace(text, r'(\s|\.\.\.)+$', '') AS cut_text, text
 FROM (SELECT *, IF(text = '', array('^'), {words}) AS words FROM ({streams})) WHERE size(words) > 0"""
 
@@ -112,7 +125,7 @@ GROUP BY no, g.a, g.b, g.c"""))
 
     # the ellipsis is part of the text where texts have it inside; else it is taken off
     ends = cut(spark.sql(rf"""
-SELECT t.id, t.source, t.no, t.last, t.open, IF(t.dots AND k.c IS NULL, {_three("shorter", "size(shorter)")}, t.g3) AS g,
+SELECT t.id, t.source, t.no, t.last, t.sure, IF(size(t.words) > {TERSE}, xxhash64(t.text), NULL) AS copy, IF(t.dots AND k.c IS NULL, {_three("shorter", "size(shorter)")}, t.g3) AS g,
   NOT t.open AND (k.c IS NOT NULL OR IF(t.dots, t.cut_text, t.text) RLIKE r'[.!?。！？।؟]["\x27”’»)\]\s]*$') AS whole
 FROM (SELECT *, IF(dots, {_WORDS.format("cut_text")}, words) AS shorter FROM ({tails})) t
 LEFT JOIN (SELECT no, a, b, c FROM {view}_inside WHERE c = '...' AND n >= {NATURAL}) k
@@ -123,7 +136,7 @@ LEFT JOIN (SELECT no, a, b, c FROM {view}_inside WHERE c = '...' AND n >= {NATUR
     grams = spark.sql(f"""
 SELECT no, a, b, c, sum(i) AS i3, sum(t) AS t3 FROM (
   SELECT no, a, b, c, n AS i, 0L AS t FROM {view}_inside
-  UNION ALL SELECT no, g.a, g.b, g.c, 0L, count(*) FROM {view}_ends GROUP BY no, g.a, g.b, g.c)
+  UNION ALL SELECT no, g.a, g.b, g.c, 0L, count_if(copy IS NULL) + count(DISTINCT copy) FROM {view}_ends WHERE NOT sure GROUP BY no, g.a, g.b, g.c)
 GROUP BY no, a, b, c""")
     cut(grams).createOrReplaceTempView(f"{view}_grams")
     rare = spark.sql(rf"""
@@ -149,7 +162,8 @@ SELECT no, a, b, c FROM e WHERE CASE
     return spark.sql(f"""
 SELECT e.id AS `{id}`, e.source AS `{source}` FROM {view}_ends e LEFT SEMI JOIN {view}_rare r
   ON e.no = r.no AND e.g.a = r.a AND e.g.b = r.b AND e.g.c = r.c
-WHERE e.last AND NOT e.whole""")
+WHERE e.last AND NOT e.whole AND NOT e.sure
+UNION ALL SELECT id, source FROM {view}_ends WHERE sure""")
 
 
 def truncation_rates(answers: DataFrame, id: str = "answer_id", source: str = "run_id", text: str = "raw") -> DataFrame:

@@ -54,3 +54,14 @@ def test_rates(spark):
     rows = [(i, None if i % 2 else "a", '{"score": 0}' if i < 40 else '{"score"') for i in range(42)]
     out = {r.run_id: (r.n, r.n_truncated, r.share) for r in truncation.truncation_rates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out == {"a": (21, 1, 1 / 21), None: (21, 1, 1 / 21)}
+
+
+def test_copies_of_a_cut_answer_are_found(spark):
+    good = ['{"present": false, "score": 0, "reason": "The road is clear."}', "The road is clear and dry.", "no"] * 10
+    at_one_place = [f'{{"reason": "Lane {w} is closed off", "zebra" ' for w in ("one", "two", "left", "right")]
+    prose = '{"present": false, "score": 0} Nothing else can be seen near the long wall, and after that bend the'
+    lost = ['{"present": false, "quokka'] * 6 + at_one_place * 2 + [prose] * 6
+    odd = ['{"reason": "a 5" pole", "present": false}', '{"LANE 19" hangs over the road, which is clear and dry.'] * 8
+    found = run(spark, good + odd + lost)
+    at = len(good) + len(odd)
+    assert found == set(range(at, at + len(lost)))
