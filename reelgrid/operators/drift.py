@@ -3,8 +3,8 @@
 Rescue-column ingestion: `ingest` enforces a target schema.  A field of the schema whose
 value fits its type goes to its column; everything else, unknown fields and values that
 can't be cast, is kept as JSON in `_rescued`, so no value is lost.  `promote` moves
-approved rescued fields into typed columns later, inside Spark, without reading the
-source again.  Along with the row, `ingest` notes the shape it met: each field's JSON type
+approved rescued fields into typed columns later, without reading the source again;
+`renamed_columns` derives from the reported renames which fields those are.  Along with the row, `ingest` notes the shape it met: each field's JSON type
 and value text.  `drift` compares these shapes between a set's files.
 
 JSON is read in Arrow batches with Python's reader, as the report must tell 2 from 2.0
@@ -13,12 +13,17 @@ and objects that differ only in the order of keys, which Spark's VARIANT can't.
 
 from __future__ import annotations
 
+import heapq
 import json
+import math
+import re
+from collections import defaultdict
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelgrid.session import cut
 
@@ -39,6 +44,18 @@ LABEL_SCHEMA = {
 #: Objects whose members count as fields of their own.
 NESTED = ("weather", "labeler")
 RENAMED_SHARE = (9, 10)
+#: Names known to be a column's, approved also where no two files of the data show the renaming.
+KNOWN_NAMES = {
+    "class_list": "classes", "categories": "classes",
+    "dynamic_object": "Dynamic object", "DynamicObject": "Dynamic object", "Dynamic Object": "Dynamic object",
+    "driving_environment": "Driving environment", "DrivingEnvironment": "Driving environment", "driving env": "Driving environment",
+    "criticality": "safety_criticality", "safetyCriticality": "safety_criticality", "safety_critical_level": "safety_criticality",
+    "Rarity": "rarity", "rarity_score": "rarity", "how_rare": "rarity",
+    "ego_influenced": "influenced_ego", "night": "is_night", "precip_tags": "rain_snow_fog",
+    "precipitation": "weather.precipitation", "road_surface": "weather.road_surface",
+    "illumination": "weather.illumination", "atmospheric_obscurants": "weather.atmospheric_obscurants",
+    "labeled_by": "labeler.id", "labeler_id": "labeler.id", "comment": "note", "notes": "note",
+}
 
 
 def json_type(v: object) -> str:
@@ -65,7 +82,7 @@ def _cast(v: object, kind: str) -> object:
     if kind == "int":
         if isinstance(v, str):
             v = v.strip()
-            v = int(v) if v.lstrip("+-").isascii() and v.lstrip("+-").isdigit() and len(v) < 11 else None
+            v = int(v) if re.fullmatch("[+-]?[0-9]+", v) and len(v) < 11 else None
         if isinstance(v, float):
             v = int(v) if v == v and abs(v) < 2**31 and v == int(v) else None
         return v if type(v) is int and -(2**31) <= v < 2**31 else None
@@ -146,23 +163,73 @@ def promote(table: DataFrame, approved: Mapping[str, str], schema: Mapping[str,
     """Replay rescued values: approved maps a rescued field to the column it belongs in.
 
     A value that can be cast fills the column where that is null, and leaves _rescued;
-    one that can't stays there.  The column is added where the table lacks it (as string).
+    one that can't stays there, as does a second one for the same place.  A column of a map
+    may be given with its key, as in weather.precipitation: the value becomes that member.
+    The column is added where the table lacks it (as string).
     """
-    rest = F.from_json("_rescued", "map<string,string>")
-    out = table.withColumn("_m", F.when(F.col("_readable"), rest))
-    for field, column in approved.items():
-        kind = schema.get(column, "string")
-        raw = F.try_element_at("_m", F.lit(field))
-        simple = {"int", "boolean", "string"}
-        typed = raw.try_cast(kind) if kind in simple else F.from_json(raw, kind)
-        old = F.col(f"`{column}`") if column in table.columns else F.lit(None).cast(kind)
-        moved = old.isNull() & typed.isNotNull()
-        out = out.withColumn("_hit", moved).withColumn(column, F.coalesce(old, typed))
-        out = out.withColumn("_gone", F.when(F.col("_hit"), F.array_append(F.coalesce(F.col("_gone"), F.array().cast("array<string>")), F.lit(field))).otherwise(F.col("_gone")) if "_gone" in out.columns else F.when(F.col("_hit"), F.array(F.lit(field))))
     if not approved:
-        return out.drop("_m")
-    kept = F.to_json(F.map_filter(F.from_json("_rescued", "map<string,variant>"), lambda k, _: ~F.array_contains("_gone", k)))
-    return out.withColumn("_rescued", F.when(F.col("_gone").isNull(), F.col("_rescued")).otherwise(F.nullif(kept, F.lit("{}")))).drop("_m", "_hit", "_gone")
+        return table
+    places = {}
+    for field, target in approved.items():
+        top, _, member = target.partition(".")
+        places[field] = (top, member) if target not in schema and member and schema.get(top, "").startswith("map<") else (target, "")
+    order = {field: i for i, field in enumerate(places)}
+    kinds = {c: schema.get(c, "string") for c, _ in places.values()}
+    fields = {f.name: f for f in table.schema.fields}
+    out = T.StructType([*fields.values(), *[T.StructField(c, T.StringType()) for c in kinds if c not in fields]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rescued, readable = b.column("_rescued").to_pylist(), b.column("_readable").to_pylist()
+            cols = {c: b.column(c).to_pylist() if c in fields else [None] * b.num_rows for c in kinds}
+            for i, text in enumerate(rescued):
+                found = _load(text) if readable[i] else None
+                if not found:
+                    continue
+                kept = dict(found)
+                for field in sorted(places.keys() & found.keys(), key=order.__getitem__):
+                    c, member = places[field]
+                    old = dict(cols[c][i] or ()) if member else cols[c][i]
+                    fit = _cast(found[field], kinds[c][11:-1] if member else kinds[c])
+                    if fit is None or (old.get(member) if member else old) is not None:
+                        continue
+                    cols[c][i] = list((old | {member: fit}).items()) if member else fit
+                    del kept[field]
+                if len(kept) < len(found):
+                    rescued[i] = _text(kept) if kept else None
+            new = {c: pa.array(v, _ARROW[kinds[c]]) for c, v in cols.items()} | {"_rescued": pa.array(rescued, pa.string())}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in out.names], names=out.names)
+
+    return table.mapInArrow(run, out)
+
+
+def renamed_columns(table: DataFrame, schema: Mapping[str, str] = LABEL_SCHEMA) -> dict[str, str]:
+    """For promote: each field that the files of the data rename to or from a column or its member.
+
+    table: what ingest gives.  Chains of renames are followed back to a column.  A pair of
+    names counts for the sets that rename one into the other, less the files that have both,
+    as some values agree by chance; of several ways the one with the best weakest link is taken.
+    """
+    pair = [F.least("field", "new_field").alias("x"), F.greatest("field", "new_field").alias("y")]
+    links = cut(drift(table).where("change_type = 'renamed'").groupBy(*pair).agg(F.count_distinct("set_id").alias("n")))
+    files = table.where("_readable").select("set_id", "file_name", F.explode("_shape.field").alias("f")).groupBy("set_id", "file_name").agg(F.collect_set("f").alias("fs"))
+    both = files.join(F.broadcast(links), F.array_contains("fs", F.col("x")) & F.array_contains("fs", F.col("y"))).groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"))
+    near = defaultdict(list)
+    for r in links.join(both, ["x", "y"], "left").selectExpr("x", "y", "n - coalesce(k, 0) AS n").where("n > 0").collect():
+        near[r.x].append((r.y, r.n))
+        near[r.y].append((r.x, r.n))
+
+    columns = {*schema, *(f for f in near if f.partition(".")[0] in NESTED and "." in f)}
+    heap, out = sorted((-math.inf, 0, c, c) for c in columns), {}
+    while heap:
+        wide, hops, field, column = heapq.heappop(heap)
+        if field in out:
+            continue
+        out[field] = column
+        for other, n in near[field]:
+            if other not in columns:
+                heapq.heappush(heap, (max(wide, -n), hops + 1, other, column))
+    return {f: c for f, c in out.items() if f not in columns}
 
 
 def drift(table: DataFrame) -> DataFrame:

@@ -91,3 +91,41 @@ def test_ingest_and_promote(spark):
     assert json.loads(out[0]._rescued) == {"note": 5, "extra": {"a": [1, 2.5]}}
     assert not out[1]._readable and out[1]._rescued == "broken"
     assert out[2].rarity is None and json.loads(out[2]._rescued) == {"Rarity": "odd"}
+
+
+def test_renamed_columns(spark):
+    rows = []
+    for i in range(10):
+        rows.append(("s", "a", DAY(1), i, f"u{i}", json.dumps({"rarity": i, "weather": {"p": i + 50}, "is_night": True, "other": 3})))
+        rows.append(("s", "b", DAY(2), i, f"u{i}", json.dumps({"how odd": i, "p": i + 50, "safety_criticality": 3})))
+        rows.append(("s", "c", DAY(3), i, f"u{i}", json.dumps({"oddness": float(i) if i == 9 else i, "weather": {"q": 1}, "p": str(i), "safety_criticality": 3, "other": 3})))
+    rows.append(("s", "c", DAY(3), 10, "v", json.dumps({"oddness": "--3", "p": 4})))
+    read = drift.ingest(spark.createDataFrame(rows, SCHEMA)).cache()
+    approved = drift.renamed_columns(read)
+    assert approved == {"how odd": "rarity", "oddness": "rarity", "p": "weather.p"}
+    out = {(r.file_name, r.line_no): r for r in drift.promote(read, approved).collect()}
+    assert [out["b", i].rarity for i in range(10)] == [out["c", i].rarity for i in range(10)] == list(range(10))
+    assert out["b", 3].weather == {"p": 53} and out["b", 3]._rescued is None
+    assert out["c", 9].weather == {"q": 1, "p": 9} and json.loads(out["c", 9]._rescued) == {"other": 3}
+    assert out["c", 10].weather == {"p": 4} and out["c", 10].rarity is None and json.loads(out["c", 10]._rescued) == {"oddness": "--3"}
+
+
+def test_no_castable_value_of_a_renamed_field_stays(spark):
+    from reelgrid.plans import problems
+
+    names = {
+        "Dynamic object": ("dynamic_object", "DynamicObject", "Dynamic Object"), "Driving environment": ("driving_environment", "DrivingEnvironment", "driving env"),
+        "safety_criticality": ("criticality", "safetyCriticality", "safety_critical_level"), "rarity": ("Rarity", "rarity_score", "how_rare"),
+        "classes": ("class_list", "categories"), "influenced_ego": ("ego_influenced",), "is_night": ("night",), "rain_snow_fog": ("precip_tags",), "note": ("comment", "notes"),
+        "weather": ("precipitation", "road_surface", "illumination", "atmospheric_obscurants"), "labeler": ("labeled_by", "labeler_id"),
+    }
+    folder = "/root/testdata/sf0.1"
+    rows = problems.p3_table(spark, folder).collect()
+    assert len(rows) == spark.read.parquet(f"{folder}/label_records.parquet").count()
+    left = set()
+    for r in rows:
+        rest = drift._load(r._rescued) or {}
+        for column, aliases in names.items():
+            kind = {"weather": "int", "labeler": "string"}.get(column, drift.LABEL_SCHEMA[column])
+            left |= {f for f in aliases if f in rest and drift._cast(rest[f], kind) is not None}
+    assert not left
