@@ -10,7 +10,9 @@ candidate.
 An exact check follows.  The page is read in pieces (lines, and items between
 separators), and each piece is counted as drawing searchers or not: outside links with
 labels that don't name the page or a source, runs of tags, stock numbers with prices,
-items of trade words, and items of which nearly all words come again and again.  What an
+items of trade words, and items of which nearly all words come again and again.  Of items
+that end as sentences do, repetition counts only for short ones that vary around a
+keyword, on pages far more redundant than their language and length usually are (FAR).  What an
 encyclopedia repeats by itself (verse, internal links, tables of figures, timetables,
 species, templates, source lists) never counts.  More than half of the text must.
 
@@ -35,6 +37,10 @@ from pyspark.sql import functions as F
 BLOCK = 250
 #: Spreads below the median ratio from which a block is redundant.
 REDUNDANT = 0.25
+#: Spreads below the median ratio from which a block is far more redundant than usual.
+FAR = 1.0
+#: Words of an item that ends as a sentence, up to which it may be a keyword phrase.
+PHRASE = 6
 #: Sentence ends for 100 words below which a block hardly has sentences.
 FEW_ENDS = 4.0
 #: Share of the text in such blocks from which a page is a candidate.
@@ -137,8 +143,13 @@ def _source(label: str, title: str) -> bool:
     return bool(title and title.lower() in label.lower()) or label.lstrip().startswith(('"', "“", "«", "''"))
 
 
-def drawing_share(text: str, title: str | None) -> float:
-    """The share of the text that is there to draw searchers."""
+def drawing_share(text: str, title: str | None, redundant: bool = True) -> float:
+    """The share of the text that is there to draw searchers.
+
+    redundant: whether the page as a whole is far more redundant than usual, so that
+    short phrases that end as sentences count by repetition too, if one word that the title
+    doesn't name stands in most of the different ones.
+    """
     total = len(text)
     if total == 0:
         return 0.0
@@ -196,6 +207,10 @@ def drawing_share(text: str, title: str | None) -> float:
     trades = [sum(w in _TRADE for w in words) for _, words, _ in kept]
     near = [trades[0], *trades, trades[-1]]
     count = sum(seen.values())
+    phrases = {frozenset(words) for _, words, ended in kept if ended and len(words) <= PHRASE} if redundant else set()
+    shared = Counter(w for p in phrases for w in p)
+    named = {*_words(plain(title))}
+    keywords = {w for w, n in shared.items() if n >= 4 and 2 * n > len(phrases) and not w.isdigit() and w not in named}
     for i, (size, words, ended) in enumerate(kept):
         n, trade, often = len(words), trades[i], 3 if count > 60 and len(words) < 12 else 2
         if trade * 4 >= n or (trade * 8 >= n and near[i] and near[i + 2]):
@@ -204,6 +219,10 @@ def drawing_share(text: str, title: str | None) -> float:
             again = sum(seen[w] >= often for w in words)
             if again * 2 > n and (n < 12 or again >= 0.6 * n) or (n <= 4 and max(seen[w] for w in words) >= 4):
                 drawn += size
+        elif ended and count >= FEW_WORDS and 2 <= n <= PHRASE and not keywords.isdisjoint(words):
+            again = sum(seen[w] >= 3 for w in words)
+            if again >= 2 and again * 2 > n:
+                drawn += size
     return min(1.0, drawn / total)
 
 
@@ -261,6 +280,17 @@ def candidate(found: list[tuple[int, float, float]], lang: str, usual: Usual) ->
     return total > 0 and held >= CANDIDATE * total
 
 
+def far_redundant(found: list[tuple[int, float, float]], lang: str, usual: Usual) -> bool:
+    """Whether more than half of a page lies in blocks far more redundant than their language and length have."""
+    held = total = 0
+    for size, ratio, _ in found:
+        total += size
+        norm = usual.get((lang, step(size))) or usual.get(("*", step(size)))
+        if norm and norm[0] - ratio > FAR * norm[1]:
+            held += size
+    return held > SHARE * total
+
+
 def searcher_pages(docs: DataFrame) -> DataFrame:
     """doc_id and share of the pages of which more than half is there to draw searchers.
 
@@ -274,8 +304,9 @@ def searcher_pages(docs: DataFrame) -> DataFrame:
         for b in batches:
             shares = []
             for text, lang, title in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), b.column("title").to_pylist(), strict=True):
-                hit = bool(text) and candidate(measure(text), language(lang), usual)
-                shares.append(drawing_share(text, title) if hit else 0.0)
+                found, own = measure(text or ""), language(lang)
+                hit = candidate(found, own, usual)
+                shares.append(drawing_share(text, title, far_redundant(found, own, usual)) if hit else 0.0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shares, pa.float64())], names=["doc_id", "share"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

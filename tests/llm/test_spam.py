@@ -57,3 +57,16 @@ def test_whole_pages_of_the_tables(spark):
     alone = {r.doc_id for r in rows if spam.drawing_share(r.text, r.title) > spam.SHARE}
     found = {r.doc_id for r in spam.searcher_pages(df).collect()}
     assert found <= alone and len(found) >= 0.97 * len(alone)
+
+
+def test_redundant_pages_of_languages_without_trade_words(spark):
+    keywords = [
+        " ".join(f"Goedkope tassen {c}. Tassen winkel {c}." for c in CITIES * 4),
+        " ".join(f"Tanie torby {c}. Sklep torby {c}! Torby {c} tanie." for c in CITIES * 2),
+    ]
+    good = ["Haha you stink. " * 20, "word. " * 50, PROSE * 4]
+    rows = [(i - 100, "Aldby", lang, t) for i, (lang, t) in enumerate([*zip(("nl", "pl"), keywords), *(("en", t) for t in good)])]
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "title", "lang", "text")
+    found = sorted(r.doc_id + 100 for r in spam.searcher_pages(spark.createDataFrame(rows, SCHEMA).unionByName(corpus)).collect() if r.doc_id < 0)
+    assert found == [0, 1]
+    assert not any(spam.drawing_share(t, "Aldby", False) > spam.SHARE for t in keywords)
