@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelgrid.functions.chunks import format_chunks
+from reelgrid.functions.chunks import format_chunks, parse_chunks
 from reelgrid.operators.merge import keep_last
 
 
@@ -73,6 +73,43 @@ def assignment_summary(state: DataFrame, all_chunks: DataFrame | None = None) ->
     return state.groupBy("store_id", "user_id").agg(F.count(F.lit(1)).alias("n_chunks"), format_chunks(F.collect_list("chunk")).alias("chunks"))
 
 
+def assign_conflicts(state: DataFrame, requests: DataFrame) -> DataFrame:
+    """request_id, user_id, n_chunks, chunks: of each request to assign, what other users hold of its chunks.
+
+    state: store_id, chunk, user_id; requests: request_id (unique), store_id, user_id, spec.  Requests
+    without user, which free chunks, and unreadable or empty lists have no conflicts.
+    """
+    asked = requests.where("user_id <> ''").select("request_id", "store_id", F.col("user_id").alias("_for"), F.explode(parse_chunks(F.col("spec"))).alias("chunk"))
+    taken = asked.join(state.select("store_id", "chunk", "user_id"), ["store_id", "chunk"]).where("user_id <> _for")
+    return taken.groupBy("request_id", "user_id").agg(F.count(F.lit(1)).alias("n_chunks"), format_chunks(F.collect_list("chunk")).alias("chunks"))
+
+
+def assign_outcomes(state: DataFrame, requests: DataFrame) -> DataFrame:
+    """request_id, outcome, added, removed of each request by itself against the state.
+
+    requests as for assign_conflicts, with force b: a request replaces all chunks of its user by its
+    list, or frees the list's chunks if it has no user.  It is a conflict, and changes nothing, if
+    others hold some of them and it isn't forced; else unreadable (an empty list too), unchanged or changed.
+    """
+    asked = requests.select("request_id", "store_id", F.nullif("user_id", F.lit("")).alias("_for"), F.coalesce("force", F.lit(False)).alias("_force"), parse_chunks(F.col("spec")).alias("_ns"))
+    held = state.select("store_id", "chunk", F.col("user_id").alias("_by"))
+    met = asked.select("request_id", "store_id", "_for", F.explode("_ns").alias("chunk")).join(held, ["store_id", "chunk"])
+    met = met.groupBy("request_id").agg(F.count(F.lit(1)).alias("_held"), F.count_if(F.col("_by") == F.col("_for")).alias("_own"))
+    old = held.groupBy("store_id", F.col("_by").alias("_for")).agg(F.count(F.lit(1)).alias("_old"))
+    every = asked.join(met, "request_id", "left").join(old, ["store_id", "_for"], "left").na.fill(0, ["_held", "_own", "_old"])
+    outcome = (
+        F.when(F.col("_ns").isNull(), "unreadable")
+        .when(F.col("_for").isNull(), F.when(F.col("_held") > 0, "changed").otherwise("unchanged"))
+        .when((F.col("_held") > F.col("_own")) & ~F.col("_force"), "conflict")
+        .when((F.col("_own") == F.size("_ns")) & (F.col("_own") == F.col("_old")), "unchanged")
+        .otherwise("changed")
+    )
+    added = F.when(F.col("_for").isNull(), 0).otherwise(F.size("_ns") - F.col("_own"))
+    removed = F.when(F.col("_for").isNull(), F.col("_held")).otherwise(F.col("_old") - F.col("_own"))
+    done = F.col("outcome") == "changed"
+    return every.withColumn("outcome", outcome).select("request_id", "outcome", F.when(done, added).otherwise(0).cast("bigint").alias("added"), F.when(done, removed).otherwise(0).cast("bigint").alias("removed"))
+
+
 def auto_assign(free: DataFrame, users: Sequence[str], per_user: int) -> DataFrame:
     """store_id, chunk, user_id: blocks of per_user free chunks by number, one for each user in order; the rest stays free."""
     names = list(dict.fromkeys(users))

@@ -81,3 +81,20 @@ def test_chunk_lists(spark):
     df = spark.createDataFrame([(s,) for s in specs], "s string")
     out = [(r.n, r.f) for r in df.select(chunks.parse_chunks(F.col("s")).alias("n"), chunks.format_chunks(chunks.parse_chunks(F.col("s"))).alias("f")).collect()]
     assert out == [(list(range(10)), "0-9"), ([0, 1, 2, 5], "0-2, 5"), (None, None), (None, None), (None, None), ([7], "7"), ([1, 2, 3], "1-3"), (None, None), (None, None)]
+
+
+def test_assignment_conflicts(spark):
+    from reelgrid.operators import labelstore
+
+    state = spark.createDataFrame([("s", 1, "ann"), ("s", 2, "ann"), ("s", 3, "bob"), ("s", 4, "bob"), ("s", 6, "cleo"), ("t", 1, "bob")], "store_id string, chunk long, user_id string")
+    requests = [
+        (1, "s", "ann", "1-6", False), (2, "s", "ann", "1-6", True), (3, "s", "ann", "2, 1", None), (4, "s", "ann", "1, 7", False),
+        (5, "s", None, "3-9", False), (6, "s", "", "8", False), (7, "s", "ann", "x", True), (8, "t", "ann", "2", False),
+    ]
+    df = spark.createDataFrame(requests, "request_id long, store_id string, user_id string, spec string, force boolean")
+    assert sorted(tuple(r) for r in labelstore.assign_conflicts(state, df).collect()) == [(i, u, n, c) for i in (1, 2) for u, n, c in (("bob", 2, "3-4"), ("cleo", 1, "6"))]
+    out = {r.request_id: (r.outcome, r.added, r.removed) for r in labelstore.assign_outcomes(state, df).collect()}
+    assert out == {
+        1: ("conflict", 0, 0), 2: ("changed", 4, 0), 3: ("unchanged", 0, 0), 4: ("changed", 1, 1),
+        5: ("changed", 0, 3), 6: ("unchanged", 0, 0), 7: ("unreadable", 0, 0), 8: ("changed", 1, 0),
+    }
