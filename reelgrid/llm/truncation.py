@@ -4,7 +4,7 @@ Word trigrams are counted inside texts and at their ends.  A text is a candidate
 last trigram is frequent inside texts but almost never their end.  Where a last trigram is
 too rare to tell, its last two words, then its last word decide.  A last word that is hardly
 a word of its own there counts the longer words that begin with it as inside, as it is a broken
-one.  A text counts itself out, and so do its copies: as an end, a text of more than TERSE
+one.  An end that no text has inside isn't a case by the trigrams.  A text counts itself out, and so do its copies: as an end, a text of more than TERSE
 words counts once however often it stands.  Shorter ones ("no", "score = 0") count each time,
 as it is their repetition that shows them to be whole.
 
@@ -44,7 +44,11 @@ NATURAL = 3
 
 _WORDS = r"""regexp_extract_all(lower(regexp_replace({}, r'\p{{N}}+', '0')), r'[\p{{L}}\p{{M}}]+|0|\.\.\.|[^\s\p{{L}}\p{{M}}\p{{N}}]', 0)"""
 #: What may follow the end of an answer or a break: fences, tags, and marks of omission.
-_AFTER = r"""r'(?s)(\s|`{1,3}|</?[a-z]*>?|\[…\]|\[\.\.\.\]|…)+$'"""
+#: It is read from the end of the text backwards, each piece once and never given up again,
+#: so that time and stack don't grow with the number of blanks.
+_AFTER = r"""r'^(?:[\s`…]++|>?+[a-z]*+/?+<|\]…\[|\]\.\.\.\[)++'"""
+_DOTS = r"""r'^(?:\s++|\.\.\.)++'"""
+_BEFORE = r"""r'^(?:\s++|`{3}|</?[a-z]++>)++'"""
 
 #: How a JSON object begins, up to any place where it may be cut.
 _BEGINS = r"""r'(?s)^\{\s*("[^"]*("\s*([:=].*)?)?|\x27[^\x27]*(\x27\s*([:=].*)?)?)?$'"""
@@ -69,16 +73,23 @@ FROM (
     FROM (SELECT id, source, raw, regexp_replace(raw, r'(?s)\\.', '__') AS masked FROM ANSWERS WHERE raw IS NOT NULL AND raw RLIKE r'\S')))
 """
 
+
+def _trimmed(text: str, mark: str = _AFTER) -> str:
+    """SQL: text without what follows its end; mark is a pattern of the text read backwards."""
+    return f"reverse(regexp_replace(reverse({text}), {mark}, ''))"
+
+
 def _streams(parts: str) -> str:
     """Streams of an answer: 1 its object, 2 the object's last string, 3 its prose; open: it stops inside, sure: certainly."""
+    last = r"""regexp_extract(regexp_replace(object, r'(?s)\\.', '__'), r'"([^"]*+)"[,\s]*+\}$', 1)"""
     more = "length(replace(object, '}', '')) > length(replace(object, '{', ''))"
     return rf"""
 SELECT id, source, inline(transform(parts, (p, i) -> named_struct('no', p.no, 'text', p.text, 'open', p.open, 'sure', p.open AND more, 'last', i = size(parts) - 1)))
 FROM (
   SELECT id, source, coalesce({more}, false) AS more, filter(array(
-      named_struct('no', 1, 'text', IF(open, regexp_replace(object, {_AFTER}, ''), object), 'open', open AND regexp_replace(object, {_AFTER}, '') RLIKE {_BEGINS}),
-      named_struct('no', 2, 'text', IF(open, NULL, regexp_replace(regexp_extract(regexp_replace(object, r'(?s)\\.', '__'), r'"([^"]*)"[,\s]*\}}$', 1), {_AFTER}, '')), 'open', false),
-      named_struct('no', 3, 'text', regexp_replace(regexp_replace(prose, r'^(\s|`{{3}}|</?[a-z]+>)+', ''), {_AFTER}, ''), 'open', false)),
+      named_struct('no', 1, 'text', IF(open, {_trimmed("object")}, object), 'open', open AND {_trimmed("object")} RLIKE {_BEGINS}),
+      named_struct('no', 2, 'text', IF(open, NULL, {_trimmed(last)}), 'open', false),
+      named_struct('no', 3, 'text', {_trimmed(f"regexp_replace(prose, {_BEFORE}, '')")}, 'open', false)),
     p -> p.text IS NOT NULL AND (p.text <> '' OR p.open)) AS parts
   FROM ({parts}))"""
 
@@ -88,12 +99,14 @@ def _three(words: str, i: str) -> str:
 
 
 def _tails(streams: str) -> str:
-    """Streams as words, an ellipsis at the end apart."""
-    words = _WORDS.format("text")
+    """Streams as words with their last trigram, and without an ellipsis at the end (shorter); ended: as a sentence does."""
+    words, ended = _WORDS.format("text"), r"""RLIKE r'[.!?。！।؟]["\x27”’»)\]\s]*+$'"""
     return rf"""
-SELECT id, source, no, open, sure, last, words, words[size(words) - 1] = '...' AS dots, {_three("words", "size(words)")} AS g3,
-  regexp_replace(text, r'(\s|\.\.\.)+$', '') AS cut_text, text
-FROM (SELECT *, IF(text = '', array('^'), {words}) AS words FROM ({streams})) WHERE size(words) > 0"""
+SELECT id, source, no, open, sure, last, words, dots, {_three("words", "size(words)")} AS g3, {_three("shorter", "size(shorter)")} AS shorter,
+  IF(size(words) > {TERSE}, xxhash64(text), NULL) AS copy, text {ended} AS ended, cut_text {ended} AS ended_shorter
+FROM (SELECT *, IF(dots, {_WORDS.format("cut_text")}, words) AS shorter FROM (
+  SELECT *, {_trimmed("text", _DOTS)} AS cut_text, words[size(words) - 1] = '...' AS dots
+  FROM (SELECT *, IF(text = '', array('^'), {words}) AS words FROM ({streams})) WHERE size(words) > 0))"""
 
 
 def _completions(name: str, grams: str, inside: str, ends: str, by: str) -> str:
@@ -115,19 +128,20 @@ def truncated(answers: DataFrame, id: str = "answer_id", source: str = "run_id",
     spark = answers.sparkSession
     view = f"answers_{uuid.uuid4().hex}"
     answers.selectExpr(f"`{id}` AS id", f"`{source}` AS source", f"`{text}` AS raw").createOrReplaceTempView(view)
-    tails = _tails(_streams(_PARTS.replace("ANSWERS", view)))
+    # answers are read and split into words once; both countings read what is written here
+    cut(spark.sql(_tails(_streams(_PARTS.replace("ANSWERS", view))))).createOrReplaceTempView(f"{view}_tails")
 
     inside = cut(spark.sql(f"""
 SELECT no, g.a, g.b, g.c, count(*) AS n FROM (
-  SELECT no, explode(transform(sequence(1, size(words) - 1), i -> {_three("words", "i")})) AS g FROM ({tails}) WHERE size(words) > 1)
+  SELECT no, explode(transform(sequence(1, size(words) - 1), i -> {_three("words", "i")})) AS g FROM {view}_tails WHERE size(words) > 1)
 GROUP BY no, g.a, g.b, g.c"""))
     inside.createOrReplaceTempView(f"{view}_inside")
 
     # the ellipsis is part of the text where texts have it inside; else it is taken off
     ends = cut(spark.sql(rf"""
-SELECT t.id, t.source, t.no, t.last, t.sure, IF(size(t.words) > {TERSE}, xxhash64(t.text), NULL) AS copy, IF(t.dots AND k.c IS NULL, {_three("shorter", "size(shorter)")}, t.g3) AS g,
-  NOT t.open AND (k.c IS NOT NULL OR IF(t.dots, t.cut_text, t.text) RLIKE r'[.!?。！？।؟]["\x27”’»)\]\s]*$') AS whole
-FROM (SELECT *, IF(dots, {_WORDS.format("cut_text")}, words) AS shorter FROM ({tails})) t
+SELECT t.id, t.source, t.no, t.last, t.sure, t.copy, IF(t.dots AND k.c IS NULL, t.shorter, t.g3) AS g,
+  NOT t.open AND (k.c IS NOT NULL OR IF(t.dots, t.ended_shorter, t.ended)) AS whole
+FROM {view}_tails t
 LEFT JOIN (SELECT no, a, b, c FROM {view}_inside WHERE c = '...' AND n >= {NATURAL}) k
   ON t.dots AND t.no = k.no AND t.g3.a = k.a AND t.g3.b = k.b AND t.g3.c = k.c"""))
     ends.createOrReplaceTempView(f"{view}_ends")
@@ -157,7 +171,7 @@ e AS (
 SELECT no, a, b, c FROM e WHERE CASE
   WHEN i3 + t3 >= {ENOUGH} OR i3 = 0 AND t3 >= {ALONE} THEN t3 <= {TERMINAL_SHARE} * (i3 + t3)
   WHEN i2 + t2 >= {ENOUGH} OR i2 = 0 AND t2 >= {ALONE} THEN t2 <= {TERMINAL_SHARE} * (i2 + t2)
-  ELSE t1 <= {TERMINAL_SHARE} * (i1 + t1) END""")
+  ELSE i1 > 0 AND t1 <= {TERMINAL_SHARE} * (i1 + t1) END""")
     rare.createOrReplaceTempView(f"{view}_rare")
     return spark.sql(f"""
 SELECT e.id AS `{id}`, e.source AS `{source}` FROM {view}_ends e LEFT SEMI JOIN {view}_rare r

@@ -65,3 +65,13 @@ def test_copies_of_a_cut_answer_are_found(spark):
     found = run(spark, good + odd + lost)
     at = len(good) + len(odd)
     assert found == set(range(at, at + len(lost)))
+
+
+def test_very_many_blanks_and_marks(spark):
+    good = ["The road is clear and dry.", '{"present": false, "score": 0}'] * 10
+    filler = ["\n" * 20_000, " \t" * 300_000, "<b>" * 50_000, "`" * 50_000, "..." * 50_000]
+    whole = [f"The road is clear{x} and dry." for x in filler] + [f'{{"present": false, "score": 0}}{x}' for x in filler[:4]]
+    lost = [f'{{"present": fal{x}' for x in filler[:4]] + [f'{{"score"{x}: 0, "present": fa' for x in filler[:2]]
+    found = run(spark, good + whole + lost)
+    at = len(good) + len(whole)
+    assert not found & set(range(at)) and set(range(at, at + len(lost))) <= found
