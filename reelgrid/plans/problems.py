@@ -29,7 +29,7 @@ def p3_table(spark: SparkSession, sf: str) -> DataFrame:
     """All label records in one table, renamed fields replayed into their columns."""
     read = cut(drift.ingest(table(spark, sf, "label_records")))
     approved = drift.renamed_columns(read) | drift.KNOWN_NAMES
-    return drift.promote(read.drop("_shape"), approved).drop("_readable")
+    return drift.promote(read, approved).drop("_readable")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

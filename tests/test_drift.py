@@ -129,3 +129,37 @@ def test_no_castable_value_of_a_renamed_field_stays(spark):
             kind = {"weather": "int", "labeler": "string"}.get(column, drift.LABEL_SCHEMA[column])
             left |= {f for f in aliases if f in rest and drift._cast(rest[f], kind) is not None}
     assert not left
+
+
+def test_odd_values_are_kept(spark):
+    digits = "9" * 6_000
+    bodies = [
+        r'{"note": "a \ud83d", "rarity": "+-5", "\ud83d": 1, "labeler": {"id": "\ude00"}, "classes": ["\ud83d"]}',
+        f'{{"rarity": {digits}, "safety_criticality": "0000000000003", "is_night": null}}',
+        '{"rarity": 2.0, "weather": {"p": "2", "q": null}, "note": "tab\\t \\" \\\\ \\u0001"}',
+    ]
+    rows = [("s", "a", DAY(1), i, f"u{i}", body) for i, body in enumerate(bodies)] + [("s", "b", DAY(2), i, f"u{i}", body) for i, body in enumerate(bodies)]
+    read = drift.ingest(spark.createDataFrame(rows, SCHEMA)).where("file_name = 'a'").cache()
+    raw = {r.line_no: r for r in read.collect()}
+    with drift._any_digits():
+        kept = [drift._load(body) for body in bodies]
+        assert all(r._readable for r in raw.values())
+        assert drift._load(raw[0]._rescued) == kept[0] and drift._load(raw[1]._rescued) == kept[1]
+        out = {r.line_no: r for r in drift.promote(read, {}).collect()}
+        assert drift._load(out[0]._rescued) == kept[0]
+        assert out[1].safety_criticality == 3 and drift._load(out[1]._rescued) == {"rarity": int(digits)}
+    assert out[2].rarity == 2 and out[2].weather == {"p": 2, "q": None} and out[2].note == "tab\t \" \\ \x01" and out[2]._rescued is None
+    assert found(spark, rows) == []
+
+
+def test_typed_and_rescued_values_compare(spark):
+    """A value has one hash whether it stands in a column or in _rescued."""
+    odd = ["q\"\\/\x01 é😀", "b"]
+    one, two = {"classes": odd, "note": odd[0], "rarity": -7, "is_night": False, "weather": {"é": 1, "a": None, "B": 3}}, {"x": odd, "y": odd[0], "z": -7, "n": False}
+    rows = [("s", f, DAY(d), 0, "u", json.dumps(v)) for d, (f, v) in enumerate((("a", one), ("b", two), ("c", one)), 1)]
+    want = {(f, "renamed", *sorted(p, key=lambda x: x in two, reverse=f == "c")) for f in "bc" for p in (("classes", "x"), ("note", "y"), ("rarity", "z"), ("is_night", "n"))}
+    got = {r[1:] for r in found(spark, rows)}
+    assert want <= got and {k for _, k, *_ in got - want} == {"removed", "added"}
+    assert set(found(spark, rows)) == brute(rows)
+    same = [("s", "a", DAY(1), 0, "u", json.dumps({"k": one})), ("s", "b", DAY(2), 0, "u", json.dumps({"j": one}))]
+    assert found(spark, same) == [("s", "b", "renamed", "k", "j")]
