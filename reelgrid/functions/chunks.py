@@ -1,56 +1,73 @@
-"""Chunk lists such as '0-9, 15': read into ranges, expand, write back."""
+"""Chunk lists such as '0-9, 15': read into ranges, merge, expand, write back."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A range may name at most this many numbers more than one; wider ones can't be read.
+#: Numbers beyond one that a range may name in the label store's input form.
 WIDEST = 100_000
 _SPLIT = r"[,\s]+"
-_PART = r"^([0-9]+)(?:-([0-9]+))?$"
+# possessive, so that long lists need no stack
+_LIST = r"^[,\s]*+(?:[0-9]++(?:-[0-9]++)?+(?:[,\s]++|$))*+$"
 
 
-def ranges(spec: Column) -> Column:
-    """The ranges of a chunk list as array<struct<lo, hi>>.
+def _once(value: Column, f) -> Column:
+    """f(value), with value evaluated once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def ranges(spec: Column, widest: int | None = None) -> Column:
+    """The ranges of a chunk list as array<struct<lo, hi>>, as written.
 
     Parts stand between commas or white space; a range's ends may come in either order.
-    Null and blank lists are empty; null if any part can't be read.
+    Null and blank lists are empty; null if any part can't be read: if it is no number or
+    range, doesn't fit a long, or (with widest) names more than widest + 1 numbers.
     """
-    parts = F.filter(F.split(F.coalesce(spec, F.lit("")), _SPLIT), lambda p: p != "")
 
     def read(p: Column) -> Column:
-        a = F.regexp_extract(p, _PART, 1).try_cast("bigint")
-        b = F.coalesce(F.regexp_extract(p, _PART, 2).try_cast("bigint"), a)
-        end_lost = (F.regexp_extract(p, _PART, 2) != "") & F.regexp_extract(p, _PART, 2).try_cast("bigint").isNull()
-        ok = a.isNotNull() & ~end_lost & (F.abs(a - b) <= WIDEST)
-        return F.when(ok, F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")))
+        ends = F.transform(F.split(p, "-"), lambda x: x.try_cast("bigint"))
+        return F.struct(F.array_min(ends).alias("lo"), F.array_max(ends).alias("hi"), F.exists(ends, lambda x: x.isNull()).alias("lost"))
+
+    parts = F.filter(F.split(spec, _SPLIT), lambda p: p != "")
+    bad = (lambda r: r["lost"]) if widest is None else (lambda r: r["lost"] | (r["hi"] - r["lo"] > widest))
+    plain = lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi"))
+    found = _once(F.transform(parts, read), lambda rs: F.when(~F.exists(rs, bad), F.transform(rs, plain)))
+    return F.when(spec.isNull(), F.array().cast("array<struct<lo:bigint,hi:bigint>>")).when(spec.rlike(_LIST), found)
+
+
+def merged(found: Column) -> Column:
+    """Ranges as ascending disjoint ones; neighbours and what overlaps become one.
+
+    With starts and ends sorted apart, a new range begins where a start lies beyond the end
+    of the same rank before it, so nothing is folded.
+    """
+    low, high = F.array_sort(F.transform(found, lambda r: r["lo"])), F.array_sort(F.transform(found, lambda r: r["hi"]))
+
+    def cut(e: Column) -> Column:
+        lo, hi = e["lo"], e["hi"]
+        first = F.filter(lo, lambda x, i: (i == 0) | (x - 1 > F.get(hi, i - 1)))
+        last = F.filter(hi, lambda x, i: (i == F.size(hi) - 1) | (F.get(lo, i + 1) - 1 > x))
+        return F.transform(first, lambda x, i: F.struct(x.alias("lo"), F.get(last, i).alias("hi")))
 
-    found = F.transform(parts, read)
-    return F.when(~F.exists(found, lambda r: r.isNull()), found)
+    return _once(F.struct(low.alias("lo"), high.alias("hi")), cut)
 
 
 def expand(found: Column) -> Column:
     """All numbers of the ranges, distinct and ascending."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda r: F.sequence(r["lo"], r["hi"])))))
+    return F.flatten(F.transform(merged(found), lambda r: F.sequence(r["lo"], r["hi"])))
 
 
-def parse_chunks(spec: Column) -> Column:
-    """The numbers of a chunk list; null if it is unreadable or empty."""
-    out = expand(ranges(spec))
-    return F.when(F.size(out) > 0, out)
+def parse_chunks(spec: Column, widest: int | None = WIDEST) -> Column:
+    """The numbers of a chunk list; null if it is unreadable or empty.  They stand in one array, so ranges have a limit."""
+    return _once(expand(ranges(spec, widest)), lambda ns: F.when(F.size(ns) > 0, ns))
 
 
-def format_chunks(numbers: Column) -> Column:
-    """Numbers as a chunk list: runs of neighbours become a-b, parts are joined by ', '."""
-    ordered = F.array_sort(F.array_distinct(numbers))
-    zero = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+def format_ranges(found: Column) -> Column:
+    """Merged ranges as a chunk list: a-b or a single number, joined by ', '."""
+    return F.array_join(F.transform(found, lambda r: F.concat(r["lo"].cast("string"), F.when(r["lo"] == r["hi"], "").otherwise(F.concat(F.lit("-"), r["hi"].cast("string"))))), ", ")
 
-    def add(acc: Column, n: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["lo"].alias("lo"), n.alias("hi"))))
-        return F.when((F.size(acc) > 0) & (last["hi"] + 1 == n), grown).otherwise(F.concat(acc, F.array(F.struct(n.alias("lo"), n.alias("hi")))))
 
-    runs = F.aggregate(F.transform(ordered, lambda n: n.cast("bigint")), zero, add)
-    text = F.transform(runs, lambda r: F.when(r["lo"] == r["hi"], r["lo"].cast("string")).otherwise(F.concat_ws("-", r["lo"].cast("string"), r["hi"].cast("string"))))
-    return F.array_join(text, ", ")
+def format_chunks(numbers: Column) -> Column:
+    """Numbers as a chunk list: runs of neighbours become a-b, parts are joined by ', '."""
+    return format_ranges(merged(F.transform(numbers, lambda n: F.struct(n.cast("bigint").alias("lo"), n.cast("bigint").alias("hi")))))

@@ -332,7 +332,7 @@ def renamed_columns(table: DataFrame, schema: Mapping[str, str] = LABEL_SCHEMA)
     pair = [F.least("field", "new_field").alias("x"), F.greatest("field", "new_field").alias("y")]
     links = cut(_changes(rows).where("change_type = 'renamed'").groupBy(*pair).agg(F.count_distinct("set_id").alias("n")))
     files = rows.select("set_id", "file_name", F.explode("s.field").alias("f")).groupBy("set_id", "file_name").agg(F.collect_set("f").alias("fs"))
-    both = files.join(_small(links), F.array_contains("fs", F.col("x")) & F.array_contains("fs", F.col("y"))).groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"))
+    both = files.withColumn("x", F.explode("fs")).join(_small(links), "x").where(F.array_contains("fs", F.col("y"))).groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"))
     near = defaultdict(list)
     for r in links.join(both, ["x", "y"], "left").selectExpr("x", "y", "n - coalesce(k, 0) AS n").where("n > 0").collect():
         near[r.x].append((r.y, r.n))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from reelgrid.operators import changes, copies, drift, intervals
-from reelgrid.session import cut, shared_dir, table
+from reelgrid.session import cut, scratch, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -17,7 +15,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Assigned chunks after all events of the change feed."""
-    return changes.assigned_chunks(table(spark, sf, "assignments"), f"{shared_dir(spark)}/assignments-{uuid.uuid4().hex}")
+    return changes.assigned_chunks(table(spark, sf, "assignments"), scratch(spark, "assignments"), widest=None)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from reelgrid.functions.times import epoch_us
 from reelgrid.operators import changes, labelstore, lineage, numbering, spans, tensors, timeseries
 from reelgrid.operators import evaluate as ev
 from reelgrid.plans.evaluation import BEST
-from reelgrid.session import cut, shared_dir, table
+from reelgrid.session import cut, scratch, table
 
 LAYERS = 8
 
@@ -62,7 +60,7 @@ def progress_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _state(spark: SparkSession, sf: str) -> DataFrame:
-    return changes.assigned_chunks(table(spark, sf, "assignments"), f"{shared_dir(spark)}/assignments-{uuid.uuid4().hex}")
+    return changes.assigned_chunks(table(spark, sf, "assignments"), scratch(spark, "assignments"), widest=None)
 
 
 def assignment_summary(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,36 +11,42 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where the cluster names none (tests, local mode) a folder on this machine is set.
+    Where none is named, local sessions (tests) get a folder on this machine; on a cluster,
+    whose executors wouldn't see it, this is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="reelgrid-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-_written: list[str] = []
+#: Folders that each application has made in its shared folder.
+_made: dict[str, list[str]] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which tidy deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder once and continue from the written copy."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    schema = df.schema
+    spark, schema = df.sparkSession, df.schema
+    path = scratch(spark, "cut")
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
 def tidy(spark: SparkSession) -> int:
-    """Delete what cut has written so far; results that still read it can't be computed any more."""
-    jvm = spark.sparkContext._jvm
-    gone = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return gone
+    """Delete what this application made in the shared folder; results that still read it can't be computed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = map(jvm.org.apache.hadoop.fs.Path, _made.pop(spark.sparkContext.applicationId, []))
+    return sum(p.getFileSystem(conf).delete(p, True) for p in paths)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -98,3 +98,68 @@ def test_assignment_conflicts(spark):
         1: ("conflict", 0, 0), 2: ("changed", 4, 0), 3: ("unchanged", 0, 0), 4: ("changed", 1, 1),
         5: ("changed", 0, 3), 6: ("unchanged", 0, 0), 7: ("unreadable", 0, 0), 8: ("changed", 1, 0),
     }
+
+
+def feed(seed, n):
+    rnd = random.Random(seed)
+    b = changes.BLOCK
+    spec = lambda: rnd.choice(["", None, "3", "1-4", f"0-{2 * b}", f"{b}-{2 * b - 1}", f"{b - 2}-{b + 1}, {3 * b}", f"{2 * b + 5}-{b + 7}"])
+    return [(f"e{i:04}", rnd.choice("st"), f"2026-01-01T0{rnd.randrange(3)}:00:00Z", i, rnd.choice(["ann", "bob", "", None]), rnd.choice(["assign", "assign", "unassign"]), spec(), spec()) for i in range(n)]
+
+
+def test_blocks_and_halves(spark, tmp_path):
+    events = feed(3, 60)
+    frame = lambda es: changes.assignment_changes(spark.createDataFrame([(*e, "x", 1) for e in es], SCHEMA))
+    random.Random(4).shuffle(events)
+    want = replay(events)
+    whole = str(tmp_path / "whole")
+    assert run(spark, events, whole) == want
+    halves = str(tmp_path / "halves")
+    changes.apply_feed(frame(events[:30]), halves)
+    state = changes.apply_feed(frame(events[25:]), halves)
+    rows = state.where("v IS NOT NULL").selectExpr("k", "explode(sequence(lo, hi)) AS n", "v").collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    assert changes.versions(spark, halves) == [1, 2]
+    # a version is published once: a writer that began before another one finished starts again
+    assert changes.publish(state, halves, 2) is None and changes.versions(spark, halves) == [1, 2]
+    assert changes.published(spark, halves, 1).count() != changes.published(spark, halves).count()
+
+
+def test_very_wide_ranges(spark, tmp_path):
+    at = "2026-01-01T00:00:00Z"
+    events = [("a", "s", at, 0, "ann", "assign", "0-1000000", None), ("b", "s", at, 1, "bob", "assign", "5", "999000-999999"), ("c", "t", at, 2, "eve", "assign", "0-40000000000", None)]
+    df = spark.createDataFrame([(*e, "x", 1) for e in events], SCHEMA)
+    out = changes.assigned_chunks(df.where("store_id = 's'"), str(tmp_path / "s"), widest=None)
+    assert {r.user_id: (r.n, r.lo, r.hi) for r in out.groupBy("user_id").agg(F.count("*").alias("n"), F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).collect()} == {"ann": (999_000, 0, 1_000_000), "bob": (1, 5, 5)}
+    ranges = changes.assigned_ranges(df, str(tmp_path / "r"))
+    assert ranges.where("store_id = 't'").agg(F.sum(F.expr("hi - lo + 1"))).first()[0] == 40_000_000_001
+
+
+def test_two_publishers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = str(tmp_path / "p")
+    with ThreadPoolExecutor(4) as pool:
+        paths = list(pool.map(lambda n: changes.publish(spark.range(n).toDF("x"), folder), range(1, 9)))
+    assert changes.versions(spark, folder) == list(range(1, 9)) and len(set(paths)) == 8
+    assert sorted(changes.published(spark, folder, v).count() for v in range(1, 9)) == list(range(1, 9))
+    (tmp_path / "p" / "v000000000009").write_text("")  # a writer that was lost here
+    assert changes.versions(spark, folder)[-1] == 8 and changes.published(spark, folder).count() == changes.published(spark, folder, 8).count()
+    changes.publish(spark.range(3).toDF("x"), folder)
+    assert changes.versions(spark, folder)[-1] == 10 and changes.published(spark, folder).count() == 3
+
+
+def test_merged_ranges(spark):
+    rnd = random.Random(5)
+    lists = [", ".join(f"{a}-{a + rnd.randrange(9)}" if rnd.random() < 0.7 else str(a) for a in (rnd.randrange(120) for _ in range(rnd.randrange(1, 25)))) for _ in range(200)]
+    lists += ["1 " * 50_000, "9223372036854775807, 0-3", "5-", "-5", "1--2", "9223372036854775808", "0-9223372036854775807,3"]
+    df = spark.createDataFrame([(s,) for s in lists], "s string").select("s", chunks.merged(chunks.ranges(F.col("s"))).alias("m"))
+    for s, m in df.collect():
+        parts = [p for p in re.split(r"[,\s]+", s) if p]
+        if s in ("5-", "-5", "1--2", "9223372036854775808"):
+            assert m is None
+        elif "9223" in s:
+            assert [(r.lo, r.hi) for r in m][-1][1] == 2**63 - 1
+        else:
+            want = {n for p in parts for n in range(int(p.split("-")[0]), int(p.split("-")[-1]) + 1)}
+            assert {n for r in m for n in range(r.lo, r.hi + 1)} == want and all(x.hi + 1 < y.lo for x, y in zip(m, m[1:]))
