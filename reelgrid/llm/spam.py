@@ -1,23 +1,25 @@
 """Pages made for searchers: repeated keywords, link lists, tags of wares (problem 8).
 
-Blocks of a page are compressed, after digits in them are made alike and addresses and
-tags are taken out, as lists of links and stock numbers repeat nothing but their form.  A
-block's compression ratio is set against what blocks of its language and length usually
-reach in the corpus (median and spread over all pages).  A page of which blocks that are
-redundant in this sense, or have hardly a sentence end, hold CANDIDATE of the text is a
-candidate.
-
-An exact check follows.  The page is read in pieces (lines, and items between
-separators), and each piece is counted as drawing searchers or not: outside links with
-labels that don't name the page or a source, runs of tags, stock numbers with prices,
-items of trade words, and items of which nearly all words come again and again.  Of items
-that end as sentences do, repetition counts only for short ones that vary around a
-keyword, on pages far more redundant than their language and length usually are (FAR).  What an
-encyclopedia repeats by itself (verse, internal links, tables of figures, timetables,
-species, templates, source lists) never counts.  More than half of the text must.
-
-The corpus is read twice, for the usual ratios and for the pages; of the first reading
-only counts by language, length and ratio are shuffled.
+Blocks of a page are compressed, after addresses and tags in them are taken out and digits
+made alike, as lists of links and stock numbers repeat nothing but their form.  A block's
+compression ratio is set against what pages of its language usually reach at its length in
+the corpus (median and spread).  It is suspect if it is far more redundant than that and if
+at most HELD of it are sentences that say something: a sentence does if enough of its words
+stand nowhere else on the page.  A page of which suspect blocks hold SUSPECT of the text is
+a candidate, in whatever language.
+
+An exact check follows.  The page is read in pieces (lines, and items between separators),
+and each piece is counted as drawing searchers or not: outside links with labels that don't
+name the page or a source, runs of tags, stock numbers with prices, and items of which nearly
+all words come again and again.  Of items that end as sentences do, repetition counts only
+where the words come in ever other company (shuffled), as keywords do; sentences made from
+a pattern repeat their order too.  What an encyclopedia repeats by itself (verse, internal
+links, tables of figures, timetables, species, templates, source lists) never counts.  More
+than half of the text must.  There are no lists of words.
+
+The corpus is read once: for each page its blocks' measures and its share are written, and
+the usual ratios and the candidates come from what is written.  Only counts by language,
+length and ratio are shuffled.
 """
 
 from __future__ import annotations
@@ -26,54 +28,55 @@ import math
 import re
 import unicodedata
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelgrid.session import cut
+
 #: Characters of a block, up to the next blank; a rest of less than half joins the last.
 BLOCK = 250
+#: Characters from which a paragraph's end is a block's end.
+PARAGRAPH = 30
 #: Spreads below the median ratio from which a block is redundant.
-REDUNDANT = 0.25
-#: Spreads below the median ratio from which a block is far more redundant than usual.
-FAR = 1.0
-#: Words of an item that ends as a sentence, up to which it may be a keyword phrase.
-PHRASE = 6
-#: Sentence ends for 100 words below which a block hardly has sentences.
-FEW_ENDS = 4.0
-#: Share of the text in such blocks from which a page is a candidate.
-CANDIDATE = 0.4
-#: Blocks that a language needs for ratios of its own at a length; else those of all count.
+REDUNDANT = 0.5
+#: The ratio below which it is where the corpus has too few pages to tell what is usual.
+UNKNOWN = 0.5
+#: Share of a block's characters in sentences that say something, from which it isn't suspect.
+HELD = 0.5
+#: Share of a sentence's words that must stand nowhere else on the page for it to say something.
+NEW = 0.34
+#: Share of the text in suspect blocks from which a page is a candidate.
+SUSPECT = 0.5
+#: Pages that a language needs for ratios of its own at a length; else those of all count.
 ENOUGH = 50
-#: Steps of the ratio in which blocks are counted.
+#: Steps of the ratio in which pages are counted.
 BINS = 200
-#: Words that a page must have before their repetition counts.
-FEW_WORDS = 12
 #: Share of the text that must draw searchers.
 SHARE = 0.5
+#: Of repeated words: different words after one for each time it stands, and different pairs for
+#: each different word (at least, and for each root of the number of words), from which they are shuffled.
+AFTER, PAIRS, PAIRS_ROOT = 0.62, 1.55, 0.11
+#: Words of an item that ends as a sentence, up to which it may be a keyword phrase.
+PHRASE = 24
+#: Words of one up to which it may vary around a keyword.
+SHORT = 8
 
-# fixed values: words of trade in the languages of the corpus, without marks on letters
-TRADE = set(
-    """
-    best buy cheap cheapest compare coupon coupons deal deals discount find get looking lowest nearme offer order price prices quotes rated review reviews sale shipping online 24h
-    angebot billig gunstig gunstige gutschein kaufen nahe online preis sofort test bestellen rabatt
-    acheter avis cher ligne livraison meilleur pas prix promo gratuit solde
-    barato baratos barata baratas cerca comprar envio linea mejor oferta ofertas opiniones precio descuento
-    дешево доставка купить онлайн отзывы скидка цена недорого заказать
-    구매 당일 무료배송 추천 최저가 특가 할인 후기 가격
-    """.split()
-)
 # fixed values: words that mark a number as that of a ware
 STOCK = r"(?:sku|ref|ean|art|id|item|no|арт|nr|품번)"
 
-_ADDRESS_TEXT = r"(?:(?:https?|hxxps?|ftp):)?//[^\s\]|<>\"']+|www\.[^\s\]|<>\"']+"
-_TAGGED = re.compile(rb"#[^\s#,;|]{3,}")
-_ADDRESS, _ADDRESSES = re.compile(_ADDRESS_TEXT.encode(), re.I), re.compile(_ADDRESS_TEXT, re.I)
-_DIGITS = bytes.maketrans(b"123456789", b"000000000")
-_ENDS = [mark + after for mark in (b".", b"!", b"?") for after in (b" ", b"\n", b"<", b'"', b")")] + ["。".encode()]
-_WORD = re.compile(r"\w+")
+_ADDRESSES = re.compile(r"(?:(?:https?|hxxps?|ftp):)?//[^\s\]|<>\"']+|www\.[^\s\]|<>\"']+", re.I)
+_PLACE = re.compile(r"<a\s[^<>]{0,500}>|</a>|<br ?/?>|&nbsp;|</?div[^<>]{0,200}>", re.I)
+_LISTED = re.compile(r"(?:(?:https?|hxxps?|ftp):)?//[^\s\]|<>\"',;]+|www\.[^\s\]|<>\"',;]+", re.I)
+_TAGGED = re.compile(r"#\w{3,}")
+_DIGITS = str.maketrans("123456789", "000000000")
+_SENTENCE = re.compile(r"[^.!?。]+(?:[.!?]+(?=[\s\"'<)»”\]]|$)|。)")
+_BORDER = re.compile(r"\n(?=\n|<div|==)|(?<=.)(?=<div)")
+# in scripts without blanks between words a character is one
+_WORD = re.compile(r"[^\W\u3040-\u30ff\u3400-\u9fff]+|[\u3040-\u30ff\u3400-\u9fff]")
 _LEET = str.maketrans("013457!", "oieast" + "i")
 
 _VERSE = re.compile(r"<poem>.*?</poem>", re.S | re.I)
@@ -88,7 +91,7 @@ _YEAR = re.compile(r"\|\s*1[0-9]\d\d\s*\||\|\s*20\d\d\s*\|")
 _OWN = re.compile(
     r"^\s*(?:\d{1,2}:\d\d\b|[#*]\s*[\"“'].*\d:\d\d\s*$|[*#]?\s*''[^']+''\s|\[\[\w+:|<ref|\*\s*\[\[|#\s*\[\[|!|\|-|\|\+|\{\||\|\}|\|\s*\w+\s*=\s*[^|]{0,60}$|\|.*\|\|)",
 )
-_SPLIT = re.compile(r"\s+[-–—|/*·•]+\s+|\s*[;•·|]\s*|(?<=[.!?])\s+|\s*<br ?/?>\s*|,\s+(?=#)")
+_SPLIT = re.compile(r"(?<=。)|\s+[-–—|/*·•]+\s+|\s*[;•·|]\s*|(?<=[.!?])\s+|\s*<br ?/?>\s*|,\s+(?=#)")
 _MARKUP = re.compile(r"<!--|-->|</?div[^>]*>|\{\{Infobox[^|{}]*|\}\}|'''?|==+", re.I)
 
 
@@ -96,45 +99,58 @@ def plain(text: str) -> str:
     """Lower case, without marks on letters, and with digits inside words read as letters."""
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return text.lower().replace("near me", "nearme")
+    return text.lower()
 
 
 def _words(text: str) -> list[str]:
     out = []
     for w in _WORD.findall(text):
-        if not w.isalpha() and not w.isdigit() and w != "24h":
+        if not w.isalpha() and not w.isdigit():
             w = w.translate(_LEET)
         out.append(w)
     return out
 
 
-_TRADE = {plain(w) for w in TRADE}
-
-
 def blocks(text: str) -> Iterator[str]:
-    """The whole text in blocks of about BLOCK characters."""
+    """The whole text in blocks of about BLOCK characters; paragraphs and hidden parts begin new ones."""
     at, n = 0, len(text)
     while at < n:
         end = at + BLOCK
-        end = n if n - end < BLOCK // 2 else text.find(" ", end, end + 80) + 1 or end
+        border = _BORDER.search(text, at + PARAGRAPH, min(end, n))
+        if border and n - border.end() > PARAGRAPH:
+            end = border.end()
+        elif n - end < BLOCK // 2:
+            end = n
+        else:
+            end = text.find(" ", end, end + 80) + 1 or end
         yield text[at:end]
         at = end
 
 
 def measure(text: str) -> list[tuple[int, float, float]]:
-    """Length, compression ratio and sentence ends for 100 words of each block."""
-    out = []
+    """Length, compression ratio and share of sentences that say something of each block."""
+    found, seen = [], Counter()
     for b in blocks(text):
-        raw = b.encode("utf-8", "surrogatepass")
-        words = raw.count(b" ") + raw.count(b"\n") + 1
-        ends = sum(map(raw.count, _ENDS)) + raw.rstrip().endswith((b".", b"!", b"?"))
-        alike = raw.translate(_DIGITS)
-        if b"//" in raw or b"www." in raw:
-            alike = _ADDRESS.sub(b"", alike)
-        if raw.count(b"#") > 2:
-            alike = _TAGGED.sub(b"#", alike)
+        alike = b.lower()
+        if "<" in alike or "&" in alike:
+            alike = _PLACE.sub("", alike)
+        if "//" in alike or "www." in alike:
+            alike = _LISTED.sub("\x01", alike)
+        if "#" in alike:
+            alike = _TAGGED.sub("\x02", alike)
+        alike = alike.translate(_DIGITS)
+        seen.update(_WORD.findall(alike))
+        found.append((b, alike))
+    out = []
+    for b, alike in found:
+        held = 0
+        for s in _SENTENCE.findall(alike):
+            words = _WORD.findall(s)
+            if len(words) > 3 and sum(seen[w] == 1 for w in words) >= NEW * len(words):
+                held += len(s)
         # what addresses and tags took counts as redundant
-        out.append((len(b), len(zlib.compress(alike, 1)) / len(raw), 100 * ends / words))
+        raw = len(b.encode("utf-8", "surrogatepass"))
+        out.append((len(b), len(zlib.compress(alike.encode("utf-8", "surrogatepass"), 6)) / raw, held / len(b)))
     return out
 
 
@@ -146,9 +162,7 @@ def _source(label: str, title: str) -> bool:
 def drawing_share(text: str, title: str | None, redundant: bool = True) -> float:
     """The share of the text that is there to draw searchers.
 
-    redundant: whether the page as a whole is far more redundant than usual, so that
-    short phrases that end as sentences count by repetition too, if one word that the title
-    doesn't name stands in most of the different ones.
+    redundant: whether phrases that end as sentences count by repetition too.
     """
     total = len(text)
     if total == 0:
@@ -187,9 +201,7 @@ def drawing_share(text: str, title: str | None, redundant: bool = True) -> float
             drawn += len(line)  # a row around an outside link
             continue
         if "\x01" not in line and (_OWN.match(line) or _YEAR.search(line)):
-            low = plain(line) if "''" not in line[:6] and "[[" not in line else ""
-            if not low or sum(w in _TRADE for w in _words(low)) < 2:
-                continue
+            continue
         if _STOCK.search(line):
             for item in re.split(r"\s+[-–·•*/]\s+", line):
                 if _STOCK.search(item):
@@ -203,27 +215,52 @@ def drawing_share(text: str, title: str | None, redundant: bool = True) -> float
                     kept.append((len(item) + 1, words, item.rstrip()[-1:] in ".!?。"))
     if not kept:
         return min(1.0, drawn / total)
+    return min(1.0, (drawn + _repeated(kept, title, redundant)) / total)
+
+
+def _repeated(kept: list[tuple[int, list[str], bool]], title: str, ended_too: bool) -> int:
+    """Characters of the items that draw searchers by what they repeat.
+
+    Repetition is counted from the second time on in a short page, from the third in others.
+    """
     seen = Counter(w for _, words, _ in kept for w in words)
-    trades = [sum(w in _TRADE for w in words) for _, words, _ in kept]
-    near = [trades[0], *trades, trades[-1]]
     count = sum(seen.values())
-    phrases = {frozenset(words) for _, words, ended in kept if ended and len(words) <= PHRASE} if redundant else set()
-    shared = Counter(w for p in phrases for w in p)
+    again_from = 3 if count > 60 else 2
     named = {*_words(plain(title))}
-    keywords = {w for w, n in shared.items() if n >= 4 and 2 * n > len(phrases) and not w.isdigit() and w not in named}
-    for i, (size, words, ended) in enumerate(kept):
-        n, trade, often = len(words), trades[i], 3 if count > 60 and len(words) < 12 else 2
-        if trade * 4 >= n or (trade * 8 >= n and near[i] and near[i + 2]):
+    phrases = [words for _, words, ended in kept if ended and len(words) <= PHRASE] if ended_too else []
+    free = len(phrases) > 2 and shuffled(phrases, again_from)
+    keywords = {w for w, n in _standing(phrases).items() if n >= again_from and w not in named} if free else set()
+    short = [p for p in phrases if len(p) <= SHORT]
+    central = {w for w, n in _standing(short).items() if n >= 4 and 2 * n > len({*map(frozenset, short)}) and w not in named}
+    drawn = 0
+    for size, words, ended in kept:
+        n = len(words)
+        if ended:
+            again = sum(w in keywords for w in words) if n <= PHRASE else 0
+            around = sum(seen[w] >= 3 for w in words) if 2 <= n <= SHORT and not central.isdisjoint(words) else 0
+            hit = (again >= 2 and 2 * again >= n) or (around >= 2 and 2 * around > n)
+        else:
+            again = sum(seen[w] >= (again_from if n < 12 else 2) for w in words)
+            hit = again * 2 > n and (n < 12 or again >= 0.6 * n) or (n <= 4 and max(seen[w] for w in words) >= 4)
+        if hit:
             drawn += size
-        elif not ended and count >= FEW_WORDS:
-            again = sum(seen[w] >= often for w in words)
-            if again * 2 > n and (n < 12 or again >= 0.6 * n) or (n <= 4 and max(seen[w] for w in words) >= 4):
-                drawn += size
-        elif ended and count >= FEW_WORDS and 2 <= n <= PHRASE and not keywords.isdisjoint(words):
-            again = sum(seen[w] >= 3 for w in words)
-            if again >= 2 and again * 2 > n:
-                drawn += size
-    return min(1.0, drawn / total)
+    return drawn
+
+
+def _standing(phrases: list[list[str]]) -> Counter:
+    """In how many different phrases each word that is no number stands."""
+    return Counter(w for p in {*map(frozenset, phrases)} for w in p if not w.isdigit())
+
+
+def shuffled(phrases: list[list[str]], again_from: int) -> bool:
+    """Whether words that come again stand in ever other company."""
+    own, after = Counter(w for p in phrases for w in p), defaultdict(set)
+    for p in phrases:
+        for w, x in zip(p, [*p[1:], ""], strict=True):
+            after[w].add(x)
+    again = [w for w, n in own.items() if n >= again_from]
+    pairs = sum(len(x - {""}) for x in after.values())
+    return bool(again) and (pairs >= max(PAIRS, PAIRS_ROOT * own.total() ** 0.5) * len(own) or sum(len(after[w]) / own[w] for w in again) >= AFTER * len(again))
 
 
 def language(lang: str | None) -> str:
@@ -237,58 +274,47 @@ def step(size: int) -> int:
     return int(2 * math.log2(size + 1))
 
 
-Usual = dict[tuple[str, int], tuple[float, float]]
+def page_measures(docs: DataFrame) -> DataFrame:
+    """doc_id, lang (in short), share that draws searchers, and blocks: step, size, ratio and held of each."""
+    block = "array<struct<step:int,size:int,ratio:double,held:double>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, shares, ends, rows = [], [], [0], []
+            for text, lang, title in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), b.column("title").to_pylist(), strict=True):
+                langs.append(language(lang))
+                rows += [(step(size), size, ratio, held) for size, ratio, held in measure(text or "")]
+                ends.append(len(rows))
+                shares.append(drawing_share(text, title) if text else 0.0)
+            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+            flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["step", "size", "ratio", "held"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), lists], names=["doc_id", "lang", "share", "blocks"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "lang", "title", "text").mapInArrow(run, f"doc_id {kind}, lang string, share double, blocks {block}")
 
 
-def usual_ratios(docs: DataFrame) -> Usual:
-    """Median and spread (between quartiles) of the ratio by language and length class.
+def usual_ratios(pages: DataFrame) -> DataFrame:
+    """lang, step, median and spread (between quartiles) of the ratio; a page has one vote for each length class.
 
     Language '*' stands for all.  There are at most 678 languages and 20 length classes
     (no block is longer than 1.5 BLOCK + 80), so the result is small whatever the corpus.
     """
+    steps = F.array_distinct(F.transform("blocks", lambda b: b["step"]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: Counter = Counter()
-            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                if text:
-                    own = language(lang)
-                    seen.update((own, step(size), min(int(ratio * BINS), 2 * BINS)) for size, ratio, _ in measure(text))
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["lang", "step", "bin", "n"])
-
-    counted = docs.select("lang", "text").mapInArrow(run, "lang string, step int, bin int, n bigint").groupBy("lang", "step", "bin").agg(F.sum("n").alias("n"))
+    def mean(s: Column) -> Column:
+        mine = F.filter("blocks", lambda b: b["step"] == s)
+        return F.aggregate(mine, F.lit(0.0), lambda a, b: a + b["ratio"]) / F.size(mine)
+
+    votes = pages.select("lang", F.explode(F.transform(steps, lambda s: F.struct(s.alias("step"), F.least(F.floor(mean(s) * BINS), F.lit(2 * BINS)).cast("int").alias("bin")))).alias("v")).select("lang", "v.*")
+    counted = votes.groupBy("lang", "step", "bin").agg(F.count(F.lit(1)).alias("n"))
     both = counted.unionByName(counted.withColumn("lang", F.lit("*"))).groupBy("lang", "step", "bin").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy("lang", "step").orderBy("bin")
     run_up = both.withColumn("upto", F.sum("n").over(upto)).withColumn("every", F.sum("n").over(Window.partitionBy("lang", "step")))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("every"), F.col("bin"))) / BINS
-    rows = run_up.groupBy("lang", "step", "every").agg(at(0.25).alias("low"), at(0.5).alias("median"), at(0.75).alias("high")).where(F.col("every") >= ENOUGH).collect()
-    return {(r.lang, r.step): (r.median, max(r.high - r.low, 0.02)) for r in rows}
-
-
-def candidate(found: list[tuple[int, float, float]], lang: str, usual: Usual) -> bool:
-    """Whether enough of a page lies in redundant blocks or blocks with hardly a sentence end."""
-    held = total = 0
-    for size, ratio, ends in found:
-        total += size
-        if ends < FEW_ENDS:
-            held += size
-            continue
-        norm = usual.get((lang, step(size))) or usual.get(("*", step(size)))
-        if norm and norm[0] - ratio > REDUNDANT * norm[1]:
-            held += size
-    return total > 0 and held >= CANDIDATE * total
-
-
-def far_redundant(found: list[tuple[int, float, float]], lang: str, usual: Usual) -> bool:
-    """Whether more than half of a page lies in blocks far more redundant than their language and length have."""
-    held = total = 0
-    for size, ratio, _ in found:
-        total += size
-        norm = usual.get((lang, step(size))) or usual.get(("*", step(size)))
-        if norm and norm[0] - ratio > FAR * norm[1]:
-            held += size
-    return held > SHARE * total
+    found = run_up.groupBy("lang", "step", "every").agg(at(0.25).alias("low"), at(0.5).alias("median"), at(0.75).alias("high")).where(F.col("every") >= ENOUGH)
+    return found.select("lang", "step", "median", F.greatest(F.col("high") - F.col("low"), F.lit(0.02)).alias("spread"))
 
 
 def searcher_pages(docs: DataFrame) -> DataFrame:
@@ -298,16 +324,13 @@ def searcher_pages(docs: DataFrame) -> DataFrame:
     null title names no page, a null language counts as unknown; an empty table gives no
     rows.  Other columns aren't read.
     """
-    usual = usual_ratios(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shares = []
-            for text, lang, title in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), b.column("title").to_pylist(), strict=True):
-                found, own = measure(text or ""), language(lang)
-                hit = candidate(found, own, usual)
-                shares.append(drawing_share(text, title, far_redundant(found, own, usual)) if hit else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shares, pa.float64())], names=["doc_id", "share"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "lang", "title", "text").mapInArrow(run, f"doc_id {kind}, share double").where(F.col("share") > SHARE)
+    pages = cut(page_measures(docs))
+    usual = cut(usual_ratios(pages))
+    bound = F.col("median") - REDUNDANT * F.col("spread")
+    own = F.broadcast(usual.where("lang <> '*'").select("lang", "step", bound.alias("own")))
+    every = F.broadcast(usual.where("lang = '*'").select("step", bound.alias("every")))
+    drawing = pages.where(F.col("share") > SHARE).withColumn("row", F.monotonically_increasing_id())
+    each = drawing.select("row", "doc_id", "lang", "share", F.explode("blocks").alias("b")).select("row", "doc_id", "lang", "share", "b.*").join(own, ["lang", "step"], "left").join(every, "step", "left")
+    suspect = (F.col("ratio") < F.coalesce("own", "every", F.lit(UNKNOWN))) & (F.col("held") < HELD)
+    judged = each.groupBy("row", "doc_id", "share").agg(F.sum("size").alias("n"), F.sum(F.when(suspect, F.col("size")).otherwise(0)).alias("held"))
+    return judged.where(F.col("held") >= SUSPECT * F.col("n")).select("doc_id", "share")

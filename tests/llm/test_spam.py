@@ -70,3 +70,34 @@ def test_redundant_pages_of_languages_without_trade_words(spark):
     found = sorted(r.doc_id + 100 for r in spam.searcher_pages(spark.createDataFrame(rows, SCHEMA).unionByName(corpus)).collect() if r.doc_id < 0)
     assert found == [0, 1]
     assert not any(spam.drawing_share(t, "Aldby", False) > spam.SHARE for t in keywords)
+
+
+def test_languages_without_planted_pages(spark):
+    import random
+
+    rnd = random.Random(8)
+    words = {
+        "it": (" ", ["borse", "orologi"], ["prezzo", "offerta", "sconto", "economico", "migliore", "vendita", "spedizione", "recensioni"]),
+        "pl": (" ", ["torebki", "zegarki"], ["cena", "tanio", "sklep", "promocja", "najlepsze", "kupon", "dostawa", "opinie"]),
+        "zh": ("", ["手表", "皮包"], ["便宜", "价格", "购买", "优惠", "折扣", "最好", "在线", "评论"]),
+        "ja": ("", ["時計", "バッグ"], ["格安", "価格", "購入", "通販", "割引", "最高", "送料無料", "口コミ"]),
+    }
+    rows = []
+    for i, (lang, (blank, wares, trade)) in enumerate(words.items()):
+        phrases = []
+        for _ in range(24):
+            p = [rnd.choice(wares), rnd.choice(CITIES), *rnd.sample(trade, rnd.randrange(2, 4))]
+            rnd.shuffle(p)
+            phrases.append(blank.join(p) + ("。" if blank == "" else ". "))
+        rows.append((i - 100, "Aldby", lang, "".join(phrases)))
+    rows += [(-50, "Aldby", "it", "Il porto fu costruito in granito nel 1801. Il custode scrisse che il tetto perdeva quando soffiava vento da ovest. I biglietti si vendono online e all'ingresso, e gli abitanti comprano un abbonamento economico."), (-49, "Aldby", "zh", "港口建于1801年，用花岗岩建造。守护人写道，每当西风吹来，屋顶就会漏水。门票在网上和门口出售，当地人购买便宜的季票。")]
+    corpus = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "title", "lang", "text")
+    found = sorted(r.doc_id for r in spam.searcher_pages(spark.createDataFrame(rows, SCHEMA).unionByName(corpus)).collect() if r.doc_id < 0)
+    assert found == [-100, -99, -98, -97]
+
+
+def test_a_page_has_one_vote(spark):
+    """A very long page doesn't change what is usual; repeated rows are judged alike."""
+    rows = [(i, "Aldby", "en", t) for i, t in enumerate([SPAM[0], SPAM[7], PROSE * 3, "lorem ipsum " * 100_000])]
+    df = spark.createDataFrame(rows + rows, SCHEMA)
+    assert [r.doc_id for r in spam.searcher_pages(df).orderBy("doc_id").collect() if r.doc_id < 3] == [0, 0, 1, 1]
