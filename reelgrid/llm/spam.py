@@ -17,9 +17,9 @@ a pattern repeat their order too.  What an encyclopedia repeats by itself (verse
 links, tables of figures, timetables, species, templates, source lists) never counts.  More
 than half of the text must.  There are no lists of words.
 
-The corpus is read once: for each page its blocks' measures and its share are written, and
-the usual ratios and the candidates come from what is written.  Only counts by language,
-length and ratio are shuffled.
+The corpus is read twice, for the usual ratios and for the pages, as compressing costs little
+beside the rest, which is done for redundant pages only.  Of the first reading only counts
+by language, length and ratio are shuffled.
 """
 
 from __future__ import annotations
@@ -32,11 +32,9 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelgrid.session import cut
-
 #: Characters of a block, up to the next blank; a rest of less than half joins the last.
 BLOCK = 250
 #: Characters from which a paragraph's end is a block's end.
@@ -72,8 +70,9 @@ _ADDRESSES = re.compile(r"(?:(?:https?|hxxps?|ftp):)?//[^\s\]|<>\"']+|www\.[^\s\
 _PLACE = re.compile(r"<a\s[^<>]{0,500}>|</a>|<br ?/?>|&nbsp;|</?div[^<>]{0,200}>", re.I)
 _LISTED = re.compile(r"(?:(?:https?|hxxps?|ftp):)?//[^\s\]|<>\"',;]+|www\.[^\s\]|<>\"',;]+", re.I)
 _TAGGED = re.compile(r"#\w{3,}")
-_DIGITS = str.maketrans("123456789", "000000000")
-_SENTENCE = re.compile(r"[^.!?。]+(?:[.!?]+(?=[\s\"'<)»”\]]|$)|。)")
+_DIGITS = bytes.maketrans(b"123456789", b"000000000")
+_MARKS = bytes.maketrans(b",;:()[]{}'\"|*=<>-/_#", b" " * 20)
+_UNSPACED = re.compile(r"([\u3040-\u30ff\u3400-\u9fff])")
 _BORDER = re.compile(r"\n(?=\n|<div|==)|(?<=.)(?=<div)")
 # in scripts without blanks between words a character is one
 _WORD = re.compile(r"[^\W\u3040-\u30ff\u3400-\u9fff]+|[\u3040-\u30ff\u3400-\u9fff]")
@@ -127,9 +126,12 @@ def blocks(text: str) -> Iterator[str]:
         at = end
 
 
-def measure(text: str) -> list[tuple[int, float, float]]:
-    """Length, compression ratio and share of sentences that say something of each block."""
-    found, seen = [], Counter()
+Block = tuple[int, int, float, bytes]
+
+
+def ratios(text: str) -> list[Block]:
+    """Length, bytes, compression ratio and text of each block, with addresses, tags and digits made alike."""
+    out = []
     for b in blocks(text):
         alike = b.lower()
         if "<" in alike or "&" in alike:
@@ -138,19 +140,34 @@ def measure(text: str) -> list[tuple[int, float, float]]:
             alike = _LISTED.sub("\x01", alike)
         if "#" in alike:
             alike = _TAGGED.sub("\x02", alike)
-        alike = alike.translate(_DIGITS)
-        seen.update(_WORD.findall(alike))
-        found.append((b, alike))
-    out = []
-    for b, alike in found:
-        held = 0
-        for s in _SENTENCE.findall(alike):
-            words = _WORD.findall(s)
-            if len(words) > 3 and sum(seen[w] == 1 for w in words) >= NEW * len(words):
-                held += len(s)
+        raw = alike.encode("utf-8", "surrogatepass").translate(_DIGITS)
         # what addresses and tags took counts as redundant
-        raw = len(b.encode("utf-8", "surrogatepass"))
-        out.append((len(b), len(zlib.compress(alike.encode("utf-8", "surrogatepass"), 6)) / raw, held / len(b)))
+        size = len(b.encode("utf-8", "surrogatepass"))
+        out.append((len(b), size, len(zlib.compress(raw, 6)) / size, raw))
+    return out
+
+
+def telling(found: list[Block]) -> list[float]:
+    """The share of each block that is in sentences that say something: more than three words, enough of which stand nowhere else."""
+    words = []
+    for *_, raw in found:
+        if raw.isascii() or not _UNSPACED.search(text := raw.decode("utf-8", "surrogatepass")):
+            words.append(raw.translate(_MARKS).split())
+        else:
+            words.append(_UNSPACED.sub(r" \1 ", text.replace("。", ". ")).encode("utf-8", "surrogatepass").translate(_MARKS).split())
+    bare = [[w.rstrip(b".!?") for w in ws] for ws in words]
+    seen = Counter(w for ws in bare for w in ws)
+    out = []
+    for (_, size, *_), ws, bs in zip(found, words, bare, strict=True):
+        held = first = 0
+        for i, w in enumerate(ws):
+            if w[-1] in b".!?":
+                sentence = bs[first : i + 1]
+                n = len(sentence)
+                if n > 3 and sum(seen[x] == 1 for x in sentence) >= NEW * n:
+                    held += n + sum(map(len, sentence))
+                first = i + 1
+        out.append(held / size)
     return out
 
 
@@ -274,47 +291,47 @@ def step(size: int) -> int:
     return int(2 * math.log2(size + 1))
 
 
-def page_measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang (in short), share that draws searchers, and blocks: step, size, ratio and held of each."""
-    block = "array<struct<step:int,size:int,ratio:double,held:double>>"
+Usual = dict[tuple[str, int], float]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, shares, ends, rows = [], [], [0], []
-            for text, lang, title in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), b.column("title").to_pylist(), strict=True):
-                langs.append(language(lang))
-                rows += [(step(size), size, ratio, held) for size, ratio, held in measure(text or "")]
-                ends.append(len(rows))
-                shares.append(drawing_share(text, title) if text else 0.0)
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["step", "size", "ratio", "held"])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), lists], names=["doc_id", "lang", "share", "blocks"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "lang", "title", "text").mapInArrow(run, f"doc_id {kind}, lang string, share double, blocks {block}")
+def usual_ratios(docs: DataFrame) -> Usual:
+    """The ratio from which a block is redundant, by language and length class.
 
-
-def usual_ratios(pages: DataFrame) -> DataFrame:
-    """lang, step, median and spread (between quartiles) of the ratio; a page has one vote for each length class.
-
-    Language '*' stands for all.  There are at most 678 languages and 20 length classes
-    (no block is longer than 1.5 BLOCK + 80), so the result is small whatever the corpus.
+    Median and spread (between quartiles) are of pages, each of which has one vote (its mean)
+    for a length class.  Language '*' stands for all.  There are at most 678 languages and 20
+    length classes (no block is longer than 1.5 BLOCK + 80), so the result is small whatever
+    the corpus.
     """
-    steps = F.array_distinct(F.transform("blocks", lambda b: b["step"]))
-
-    def mean(s: Column) -> Column:
-        mine = F.filter("blocks", lambda b: b["step"] == s)
-        return F.aggregate(mine, F.lit(0.0), lambda a, b: a + b["ratio"]) / F.size(mine)
 
-    votes = pages.select("lang", F.explode(F.transform(steps, lambda s: F.struct(s.alias("step"), F.least(F.floor(mean(s) * BINS), F.lit(2 * BINS)).cast("int").alias("bin")))).alias("v")).select("lang", "v.*")
-    counted = votes.groupBy("lang", "step", "bin").agg(F.count(F.lit(1)).alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
+                votes = defaultdict(list)
+                for size, _, ratio, _ in ratios(text or ""):
+                    votes[step(size)].append(ratio)
+                own = language(lang)
+                seen.update((own, k, min(int(sum(v) / len(v) * BINS), 2 * BINS)) for k, v in votes.items())
+            keys = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["lang", "step", "bin", "n"])
+
+    counted = docs.select("lang", "text").mapInArrow(run, "lang string, step int, bin int, n bigint").groupBy("lang", "step", "bin").agg(F.sum("n").alias("n"))
     both = counted.unionByName(counted.withColumn("lang", F.lit("*"))).groupBy("lang", "step", "bin").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy("lang", "step").orderBy("bin")
     run_up = both.withColumn("upto", F.sum("n").over(upto)).withColumn("every", F.sum("n").over(Window.partitionBy("lang", "step")))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("every"), F.col("bin"))) / BINS
-    found = run_up.groupBy("lang", "step", "every").agg(at(0.25).alias("low"), at(0.5).alias("median"), at(0.75).alias("high")).where(F.col("every") >= ENOUGH)
-    return found.select("lang", "step", "median", F.greatest(F.col("high") - F.col("low"), F.lit(0.02)).alias("spread"))
+    rows = run_up.groupBy("lang", "step", "every").agg(at(0.25).alias("low"), at(0.5).alias("median"), at(0.75).alias("high")).where(F.col("every") >= ENOUGH).collect()
+    return {(r.lang, r.step): r.median - REDUNDANT * max(r.high - r.low, 0.02) for r in rows}
+
+
+def candidate(text: str, lang: str, usual: Usual) -> bool:
+    """Whether enough of a page lies in blocks that are redundant and say hardly anything."""
+    found = ratios(text)
+    enough = SUSPECT * len(text)
+    low = [ratio < usual.get((lang, step(size)), usual.get(("*", step(size)), UNKNOWN)) for size, _, ratio, _ in found]
+    if not text or sum(size for (size, *_), hit in zip(found, low, strict=True) if hit) < enough:
+        return False
+    return sum(size for (size, *_), hit, held in zip(found, low, telling(found), strict=True) if hit and held < HELD) >= enough
 
 
 def searcher_pages(docs: DataFrame) -> DataFrame:
@@ -324,13 +341,13 @@ def searcher_pages(docs: DataFrame) -> DataFrame:
     null title names no page, a null language counts as unknown; an empty table gives no
     rows.  Other columns aren't read.
     """
-    pages = cut(page_measures(docs))
-    usual = cut(usual_ratios(pages))
-    bound = F.col("median") - REDUNDANT * F.col("spread")
-    own = F.broadcast(usual.where("lang <> '*'").select("lang", "step", bound.alias("own")))
-    every = F.broadcast(usual.where("lang = '*'").select("step", bound.alias("every")))
-    drawing = pages.where(F.col("share") > SHARE).withColumn("row", F.monotonically_increasing_id())
-    each = drawing.select("row", "doc_id", "lang", "share", F.explode("blocks").alias("b")).select("row", "doc_id", "lang", "share", "b.*").join(own, ["lang", "step"], "left").join(every, "step", "left")
-    suspect = (F.col("ratio") < F.coalesce("own", "every", F.lit(UNKNOWN))) & (F.col("held") < HELD)
-    judged = each.groupBy("row", "doc_id", "share").agg(F.sum("size").alias("n"), F.sum(F.when(suspect, F.col("size")).otherwise(0)).alias("held"))
-    return judged.where(F.col("held") >= SUSPECT * F.col("n")).select("doc_id", "share")
+    usual = usual_ratios(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, langs, titles = (b.column(c).to_pylist() for c in ("text", "lang", "title"))
+            shares = [drawing_share(text, title) if text and candidate(text, language(lang), usual) else 0.0 for text, lang, title in zip(texts, langs, titles, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shares, pa.float64())], names=["doc_id", "share"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "lang", "title", "text").mapInArrow(run, f"doc_id {kind}, share double").where(F.col("share") > SHARE)
