@@ -11,9 +11,8 @@ its complement.
 from __future__ import annotations
 
 import json
-import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,12 +24,15 @@ from reelgrid.session import shuffle_width
 FAN = 8
 #: Intervals that a task holds before it passes them on.
 FLUSH = 200_000
+#: Rows that the taxonomy may have.
+MAX_CLASSES = 10_000
 LIST = pa.list_(pa.int64())
 _STATE = "uuid string, class_name string, starts array<bigint>, ends array<bigint>"
 
-_TIME = r"(?:(\d+):)?(\d+(?:\.\d+)?)"
-_ONE = re.compile(rf"\s*(-?)\s*{_TIME}\s*(?:s|sec|secs|seconds)?\s*", re.I)
-_TWO = re.compile(rf"\s*(?:from\s+)?(-?){_TIME}\s*(?:s|sec|secs|seconds)?\s*(?:-|–|—|to|until|\.\.)\s*(-?){_TIME}\s*(?:s|sec|secs|seconds)?\s*", re.I)
+_UNIT = r"\s*(?:s|sec|secs|seconds)?\s*"
+_TIME = r"(?:\d+:)?\d+(?:\.\d+)?"
+_ONE = re.compile(rf"\s*(?P<sign>-?)\s*(?P<time>{_TIME}){_UNIT}", re.I)
+_TWO = re.compile(rf"\s*(?:from\s+)?(-?{_TIME}){_UNIT}(?:-|–|—|to|until|\.\.)\s*(-?{_TIME}){_UNIT}", re.I)
 
 Intervals = list[tuple[int, int]]
 
@@ -65,45 +67,58 @@ def reduce_tree(lists: list[Intervals]) -> Intervals:
     return lists[0] if lists else []
 
 
-def _millis(minutes: str | None, seconds: str) -> int:
-    return round((int(minutes or 0) * 60 + float(seconds)) * 1000)
-
-
 def parse_time(v: object) -> int | None:
-    """Milliseconds of seconds or m:ss, as number or text; None if negative or no time."""
-    if isinstance(v, bool) or v is None:
+    """Milliseconds of seconds or m:ss, as number or text; None if negative, no time, or more than a long holds."""
+    if isinstance(v, str):
+        m = _ONE.fullmatch(v)
+        if not m or m["sign"]:
+            return None
+        minutes, _, seconds = m["time"].rpartition(":")
+        v = float(minutes or 0) * 60 + float(seconds)
+    if isinstance(v, bool) or not isinstance(v, int | float):
         return None
-    if isinstance(v, int | float):
-        return round(v * 1000) if math.isfinite(v) and 0 <= v < 1e15 else None
-    if isinstance(v, str) and (m := _ONE.fullmatch(v)) and not m[1]:
-        return _millis(m[2], m[3])
-    return None
+    return round(v * 1000) if 0 <= v < 2**63 / 1000 else None
 
 
-def _span(a: int | None, b: int | None) -> Intervals:
-    return [] if a is None or b is None or a == b else [(min(a, b), max(a, b))]
+#: A span as written: its start, end and score.
+Written = tuple[object, object, object]
 
 
-def parse_spans(v: object) -> Intervals:
-    """The spans of one class, in any of the written forms, as (start, end) in milliseconds."""
+def written_spans(v: object, ends_of: Callable[[str], tuple | None], arity: Callable[[int], int], inner: Callable[[int], int]) -> Iterator[Written]:
+    """The spans of one class in any of the forms in which answers hold them.
+
+    A span is an object with its ends, a text with two times (ends_of), or a list.  A list of
+    lists, objects and such texts holds spans; another one is cut into pieces of arity values
+    (0: it holds no span).  inner is the arity of a list within a list.
+    """
     if isinstance(v, str):
-        m = _TWO.fullmatch(v)
-        return _span(_millis(m[2], m[3]), _millis(m[5], m[6])) if m and not m[1] and not m[4] else []
+        v = ends_of(v) or ()
     if isinstance(v, dict):
-        return _span(parse_time(v.get("start")), parse_time(v.get("end")))
-    if not isinstance(v, list):
-        return []
-    if any(isinstance(x, list | dict) or (isinstance(x, str) and _TWO.fullmatch(x)) for x in v):
-        out: Intervals = []
+        yield v.get("start"), v.get("end"), next((v[k] for k in SCORE_KEYS if k in v), None)
+    elif isinstance(v, list) and any(isinstance(x, list | dict) or (isinstance(x, str) and ends_of(x)) for x in v):
         for x in v:
-            if isinstance(x, list):
-                if len(x) in (2, 3):
-                    out += _span(parse_time(x[0]), parse_time(x[1]))
-            else:
-                out += parse_spans(x)
-        return out
-    step = 3 if len(v) % 3 == 0 else 2
-    return [s for k in range(0, len(v) - 1, step) for s in _span(parse_time(v[k]), parse_time(v[k + 1]))]
+            if isinstance(x, list | dict | str):
+                yield from written_spans(x, ends_of, inner, inner)
+    elif isinstance(v, tuple | list):
+        step = arity(len(v))
+        for k in range(0, len(v) - step + 1, step) if step else ():
+            yield v[k], v[k + 1], v[k + 2] if step > 2 else None
+
+
+#: Keys that may hold a span's score.
+SCORE_KEYS = ("score", "level", "risk")
+
+
+def _two_times(text: str) -> tuple | None:
+    m = _TWO.fullmatch(text)
+    return m and m.groups()
+
+
+def parse_spans(v: object) -> Intervals:
+    """The spans of one class, in any of the written forms, as (start, end) in milliseconds."""
+    each = written_spans(v, _two_times, lambda n: 3 if n % 3 == 0 else 2, lambda n: n if n in (2, 3) else 0)
+    times = ((parse_time(a), parse_time(b)) for a, b, _ in each)
+    return [(min(x), max(x)) for x in times if None not in x and x[0] != x[1]]
 
 
 def parse_time_spans(text: str | None) -> Iterator[tuple[str, Intervals]]:
@@ -208,9 +223,12 @@ def read_spans(rows: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """First states: uuid, class_name, starts, ends, merged within each task.
 
     Class names compare without letter case and outer white space; the taxonomy, which is
-    read to the driver, is a list of class names of fixed size.
+    read to the driver, is a list of class names of at most MAX_CLASSES (checked).
     """
-    names = {r.class_name.strip().lower(): r.class_name for r in taxonomy.select("class_name").where("class_name IS NOT NULL").collect()}
+    classes = taxonomy.select("class_name").where("class_name IS NOT NULL").limit(MAX_CLASSES + 1).collect()
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    names = {r.class_name.strip().lower(): r.class_name for r in classes}
     found = rows.select("uuid", "time_spans").where("time_spans IS NOT NULL AND uuid IS NOT NULL AND time_spans NOT IN ('', '{}', '[]')")
     return found.mapInArrow(_read(names), _STATE)
 
