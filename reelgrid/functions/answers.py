@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from reelgrid.functions.text import strip
 
-# fixed values: the words of the old text scale, strongest first
-TIER_WORDS = {"high": 3, "moderate": 2, "medium": 2, "low": 1}
-
-
 def json_block(text: Column) -> Column:
     """The text from the first { to the last }; empty if there is none."""
     return F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)\{.*\}", 0)

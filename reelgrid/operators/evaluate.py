@@ -85,11 +85,15 @@ def _scored(counts: DataFrame) -> DataFrame:
 
 def verdict_metrics(pairs: DataFrame, tax: Taxonomy) -> DataFrame:
     """run_id, scope ('All' or a group), tp, fp, fn, tn, accuracy, precision, recall, f1, specificity; no groups without cases."""
-    groups = list(dict.fromkeys(tax.groups.values()))
-    some = lambda c, g: F.size(c) > 0 if g is None else F.exists(c, lambda x: tax.group(x) == g)
-    scopes = F.array(*[F.struct(F.lit(g or "All").alias("scope"), F.coalesce(some("gt", g), F.lit(False)).alias("t"), F.coalesce(some("pred", g), F.lit(False)).alias("p")) for g in (None, *groups)])
-    each = pairs.select("run_id", F.explode(scopes).alias("s")).select("run_id", "s.*")
-    n = each.groupBy("run_id", "scope").agg(F.count_if(F.expr("t AND p")).alias("tp"), F.count_if(F.expr("NOT t AND p")).alias("fp"), F.count_if(F.expr("t AND NOT p")).alias("fn"), F.count_if(F.expr("NOT t AND NOT p")).alias("tn"))
+    of = lambda c: F.array_compact(F.array_distinct(F.transform(c, tax.group)))
+    sides = pairs.select("run_id", (F.size("gt") > 0).alias("t"), (F.size("pred") > 0).alias("p"), of("gt").alias("gs"), of("pred").alias("ps"))
+    case = lambda scope, t, p: F.struct(scope.alias("scope"), t.alias("t"), p.alias("p"))
+    scopes = F.concat(F.array(case(F.lit("All"), F.col("t"), F.col("p"))), F.transform(F.array_union("gs", "ps"), lambda g: case(g, F.array_contains("gs", g), F.array_contains("ps", g))))
+    each = sides.select("run_id", F.explode(scopes).alias("s")).select("run_id", "s.*")
+    n = each.groupBy("run_id", "scope").agg(F.count_if(F.expr("t AND p")).alias("tp"), F.count_if(F.expr("NOT t AND p")).alias("fp"), F.count_if(F.expr("t AND NOT p")).alias("fn"), F.count(F.lit(1)).alias("k"))
+    # a clip without a group's classes on either side is a true negative of the group
+    clips = F.max(F.when(F.col("scope") == "All", F.col("k"))).over(Window.partitionBy("run_id"))
+    n = n.withColumn("tn", clips - F.col("tp") - F.col("fp") - F.col("fn")).drop("k")
     out = _scored(n.where("scope = 'All' OR tp + fp + fn > 0"))
     return out.withColumns({"accuracy": (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")), "specificity": safe_div(F.col("tn"), F.col("tn") + F.col("fp"))})
 
@@ -179,12 +183,11 @@ def axis_pairs(pairs: DataFrame) -> DataFrame:
 def ordinal_block(scores: DataFrame) -> DataFrame:
     """run_id, name: n, mse, exact, within_one, the same without true 0, and the baseline that
     always guesses the most frequent truth (of equally frequent ones the one whose first clip comes first)."""
-    votes = scores.groupBy("run_id", "name", "t").agg(F.count(F.lit(1)).alias("k"), F.min("uuid").alias("first"))
-    mode = votes.groupBy("run_id", "name").agg(F.min_by("t", F.struct(-F.col("k"), "first")).alias("mode"))
     per = scores.groupBy("run_id", "name", "t").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("t") - F.col("p")) * (F.col("t") - F.col("p"))).alias("sq"), F.count_if(F.col("t") == F.col("p")).alias("eq"), F.count_if(F.abs(F.col("t") - F.col("p")) <= 1).alias("near")
-    )
-    joined = per.join(mode, ["run_id", "name"])
+        F.count(F.lit(1)).alias("n"), F.min("uuid").alias("first"), F.sum((F.col("t") - F.col("p")) * (F.col("t") - F.col("p"))).alias("sq"),
+        F.count_if(F.col("t") == F.col("p")).alias("eq"), F.count_if(F.abs(F.col("t") - F.col("p")) <= 1).alias("near"),
+    )
+    joined = per.withColumn("mode", F.first("t").over(Window.partitionBy("run_id", "name").orderBy(F.desc("n"), "first")))
     nz = lambda c: F.sum(F.when(F.col("t") != 0, F.col(c)).otherwise(0))
     out = joined.groupBy("run_id", "name").agg(
         F.sum("n").alias("n"), (F.sum("sq") / F.sum("n")).alias("mse"), (F.sum("eq") / F.sum("n")).alias("exact"), (F.sum("near") / F.sum("n")).alias("within_one"),

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelgrid.functions.chunks import format_chunks, parse_chunks
+from reelgrid.functions.chunks import format_chunks, format_ranges, merged, parse_chunks
 from reelgrid.operators.merge import keep_last
+from reelgrid.session import cut
 
 
 def once(events: DataFrame) -> DataFrame:
@@ -68,9 +69,21 @@ def progress(clips: DataFrame, current: DataFrame) -> DataFrame:
     return rows.groupBy("labeler").agg(F.count(F.lit(1)).alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
 
 
-def assignment_summary(state: DataFrame, all_chunks: DataFrame | None = None) -> DataFrame:
-    """store_id, user_id: number of chunks and their list.  A user's list holds only numbers of its chunks."""
-    return state.groupBy("store_id", "user_id").agg(F.count(F.lit(1)).alias("n_chunks"), format_chunks(F.collect_list("chunk")).alias("chunks"))
+def assignment_summary(ranges: DataFrame) -> DataFrame:
+    """store_id, user_id, n_chunks, chunks of assigned ranges (store_id, lo, hi, user_id; disjoint): a user's chunks and their list.
+
+    The list is the result's own text; ranges are collected for it, not numbers.
+    """
+    found = F.collect_list(F.struct("lo", "hi"))
+    per = ranges.groupBy("store_id", "user_id").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n_chunks"), found.alias("_r"))
+    return per.select("store_id", "user_id", "n_chunks", format_ranges(merged(F.col("_r"))).alias("chunks"))
+
+
+def free_ranges(ranges: DataFrame) -> DataFrame:
+    """store_id, lo, hi: what lies between 0 and a store's last assigned chunk and isn't assigned."""
+    before = F.coalesce(F.max("hi").over(Window.partitionBy("store_id").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    gaps = ranges.select("store_id", (before + 1).alias("_lo"), (F.col("lo") - 1).alias("_hi"))
+    return gaps.where("_lo <= _hi").select("store_id", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
 
 
 def assign_conflicts(state: DataFrame, requests: DataFrame) -> DataFrame:
@@ -111,20 +124,32 @@ def assign_outcomes(state: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def auto_assign(free: DataFrame, users: Sequence[str], per_user: int) -> DataFrame:
-    """store_id, chunk, user_id: blocks of per_user free chunks by number, one for each user in order; the rest stays free."""
+    """store_id, chunk, user_id: of free ranges (store_id, lo, hi) blocks of per_user chunks by number, one for each user in order; the rest stays free."""
     names = list(dict.fromkeys(users))
-    n = F.row_number().over(Window.partitionBy("store_id").orderBy("chunk"))
-    taken = free.withColumn("_n", n).where(F.col("_n") <= per_user * len(names))
-    return taken.select("store_id", "chunk", F.array(*map(F.lit, names))[F.floor((F.col("_n") - 1) / per_user).cast("int")].alias("user_id"))
+    most = per_user * len(names)
+    so_far = Window.partitionBy("store_id").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    first = free.withColumn("_n", F.coalesce(F.sum(F.col("hi") - F.col("lo") + 1).over(so_far), F.lit(0))).where(F.col("_n") < most)
+    dealt = first.select("store_id", "lo", "_n", F.explode(F.sequence("lo", F.least("hi", F.col("lo") + most - F.col("_n") - 1))).alias("chunk"))
+    place = F.col("_n") + F.col("chunk") - F.col("lo")
+    return dealt.select("store_id", "chunk", F.array(*map(F.lit, names))[F.floor(place / per_user).cast("int")].alias("user_id"))
 
 
 def next_open(clips: DataFrame) -> DataFrame:
-    """group, uuid, next_uuid: of each clip (open: not labelled yet) the next open one in order of uuid, round the end; null if none is open but itself."""
-    w = Window.partitionBy("group").orderBy("uuid")
+    """group, uuid, next_uuid: of each clip (open: not labelled yet) the next open one in order of uuid, round the end; null if none is open but itself.
+
+    Clips are range-partitioned by group and uuid, so a group may take any number of tasks;
+    the first open clip of each group in each partition (at most partitions plus groups
+    many) says where to go on.  Frames run, nothing is looked up row by row.
+    """
+    placed = cut(clips.select("group", "uuid", "open").repartitionByRange("group", "uuid").withColumn("_part", F.spark_partition_id()))
+    heads = placed.where("open").groupBy("group", "_part").agg(F.min("uuid").alias("_head"))
+    every = placed.select("group", "_part").distinct().join(heads, ["group", "_part"], "left")
+    later = Window.partitionBy("group").orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = every.select("group", "_part", F.last("_head", ignorenulls=True).over(later).alias("_later"), F.min("_head").over(Window.partitionBy("group")).alias("_first"))
     one = F.when(F.col("open"), F.col("uuid"))
-    after = F.first(one, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    first = F.min(one).over(Window.partitionBy("group"))
-    return clips.select("group", "uuid", F.nullif(F.coalesce(after, first), F.col("uuid")).alias("next_uuid"))
+    back = Window.partitionBy("group", "_part").orderBy(F.desc("uuid")).rowsBetween(Window.unboundedPreceding, -1)
+    near = placed.withColumn("_near", F.last(one, ignorenulls=True).over(back)).join(heads, ["group", "_part"])
+    return near.select("group", "uuid", F.nullif(F.coalesce("_near", "_later", "_first"), F.col("uuid")).alias("next_uuid"))
 
 
 def active_claims(claims: DataFrame, now: Column, ttl_s: int = 90) -> DataFrame:

@@ -26,7 +26,7 @@ class Facets:
     score: Bounds = (None, None)
     axes: Mapping[str, Bounds] = field(default_factory=dict)
     outcome: str = ""  # or tp, fp, fn
-    limit: int = 500
+    limit: int | None = 500  # None: all
 
 
 def in_bounds(v: Column, bounds: Bounds, missing: bool = False) -> Column:
@@ -69,6 +69,10 @@ def top_score(scores: Column) -> Column:
     return F.array_max(F.map_values(scores))
 
 
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
+
+
 def search_results(best: DataFrame, facets: Facets) -> DataFrame:
     """Predictions that fit, highest score first, then by run and uuid.  A row without scores passes any score range,
     but one without a weather value fails a range of that axis."""
@@ -78,7 +82,7 @@ def search_results(best: DataFrame, facets: Facets) -> DataFrame:
     for a, b in facets.axes.items():
         keep = keep & in_bounds(F.col(a), b)
     out = rows.where(keep).select("run_id", "uuid", "names", "score_max", *AXES)
-    return out.orderBy(F.desc(F.coalesce("score_max", F.lit(0))), "run_id", "uuid").limit(facets.limit)
+    return _first(out.orderBy(F.desc(F.coalesce("score_max", F.lit(0))), "run_id", "uuid"), facets.limit)
 
 
 def search_labels(labels: DataFrame, facets: Facets, predictions: DataFrame | None = None) -> DataFrame:
@@ -91,4 +95,4 @@ def search_labels(labels: DataFrame, facets: Facets, predictions: DataFrame | No
     rows = rows.where(keep)
     if facets.outcome and predictions is not None:
         rows = rows.join(predictions.select("uuid", "pred"), "uuid", "left").where(outcome(F.col("names"), F.col("pred"), facets.outcome))
-    return rows.select("uuid", "names", "score_max", "note").orderBy(F.desc(F.coalesce("score_max", F.lit(0))), "uuid").limit(facets.limit)
+    return _first(rows.select("uuid", "names", "score_max", "note").orderBy(F.desc(F.coalesce("score_max", F.lit(0))), "uuid"), facets.limit)

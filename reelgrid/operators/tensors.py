@@ -13,11 +13,17 @@ def long_form(vectors: DataFrame, layers: int, id: str = "vec_id", values: str =
     return each.select("tok", F.floor(F.col("i") / width).cast("int").alias("layer"), F.pmod("i", width).alias("bucket"), F.abs(F.col("v").cast("double")).alias("v"))
 
 
-def bucket_ratio(cells: DataFrame, layers: int) -> DataFrame:
-    """tok, bucket, ratio: a token's share of a bucket, averaged over the last quarter of layers, against the mean of all tokens."""
-    last = cells.where(F.col("layer") >= layers - max(1, layers // 4))
-    sums = last.groupBy("tok", "layer").agg(F.sum("v").alias("every"))
-    share = last.join(sums, ["tok", "layer"]).groupBy("tok", "bucket").agg(F.avg(F.col("v") / (F.col("every") + 1e-12)).alias("share"))
+def bucket_ratio(vectors: DataFrame, layers: int, id: str = "vec_id", values: str = "embedding") -> DataFrame:
+    """tok, bucket, ratio: a token's share of a bucket, averaged over the last quarter of layers, against the mean of all tokens.
+
+    vectors as for long_form.  Shares are worked out within each token's array; only their means by bucket are shuffled.
+    """
+    rows = vectors.select(F.col(id).alias("tok"), F.transform(values, lambda x: F.abs(x.cast("double"))).alias("v"), F.floor(F.size(values) / layers).cast("int").alias("w"))
+    last = max(1, layers // 4)
+    starts = [F.lit(k) * F.col("w") for k in range(layers - last, layers)]
+    sums = rows.select("tok", "v", "w", F.array(*[F.aggregate(F.slice("v", s + 1, F.col("w")), F.lit(0.0), lambda a, x: a + x) for s in starts]).alias("every"))
+    mean = lambda b: sum((F.get("v", s + b) / (F.col("every")[i] + 1e-12) for i, s in enumerate(starts)), F.lit(0.0)) / last
+    share = sums.where("w > 0").select("tok", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("w") - 1), mean)).alias("bucket", "share"))
     base = share.groupBy("bucket").agg(F.avg("share").alias("base"))
     return share.join(base, "bucket").select("tok", "bucket", F.round(F.col("share") / (F.col("base") + 1e-12), 4).alias("ratio"))
 

@@ -58,12 +58,22 @@ def within_windows(samples: DataFrame, windows: DataFrame, min_s: float = 1.0, m
     """windows (uuid, beg, end) clamped to each uuid's samples, with n and mean speed of the samples inside.
 
     Windows disjoint from the samples, shorter than min_s after clamping, or with fewer
-    than min_n samples give no row.
+    than min_n samples give no row; a window given twice counts its samples twice.  Ends of
+    windows stand in one line with the samples, and what lies inside is the difference of
+    running sums, so windows and samples aren't paired.
     """
     reach = samples.groupBy("uuid").agg(F.min("t_us").alias("first"), F.max("t_us").alias("last"))
-    clamped = windows.join(reach, "uuid").select("uuid", "beg", "end", F.greatest("beg", "first").alias("lo"), F.least("end", "last").alias("hi")).where((F.col("hi") - F.col("lo")) / 1e6 >= min_s)
-    inside = clamped.join(samples.select("uuid", "t_us", "speed"), "uuid").where(F.col("t_us").between(F.col("lo"), F.col("hi")))
-    return inside.groupBy("uuid", "beg", "end", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.avg("speed").alias("speed")).where(F.col("n") >= min_n)
+    given = windows.groupBy("uuid", "beg", "end").agg(F.count(F.lit(1)).alias("k"))
+    clamped = given.join(reach, "uuid").select("uuid", "k", F.struct("beg", "end", F.greatest("beg", "first").alias("lo"), F.least("end", "last").alias("hi")).alias("w")).where((F.col("w.hi") - F.col("w.lo")) / 1e6 >= min_s)
+    # at one time windows that begin come before the samples, windows that end after them
+    ends = clamped.select("uuid", "k", "w", F.explode(F.array(F.struct(F.col("w.lo").alias("t"), F.lit(-1).alias("side")), F.struct(F.col("w.hi").alias("t"), F.lit(1).alias("side")))).alias("e"))
+    line = samples.select("uuid", F.col("t_us").alias("t"), F.lit(0).alias("side"), "speed").unionByName(ends.select("uuid", "e.t", "e.side", "k", "w"), allowMissingColumns=True)
+    so_far = Window.partitionBy("uuid").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda x: F.sum(F.when(F.col("side") == 0, x)).over(so_far)
+    sums = line.select("uuid", "side", "k", "w", total(F.lit(1)).alias("n"), total(F.col("speed").isNotNull().cast("int")).alias("m"), total(F.col("speed")).alias("v")).where("side <> 0")
+    inside = lambda c: F.sum(F.col("side") * F.coalesce(c, F.lit(0)))
+    out = sums.groupBy("uuid", "w", "k").agg(inside("n").alias("n"), F.try_divide(inside("v"), inside("m")).alias("speed"))
+    return out.select("uuid", "w.*", (F.col("n") * F.col("k")).alias("n"), "speed").where(F.col("n") >= min_n)
 
 
 def asof(left: DataFrame, right: DataFrame, values: Sequence[str], forward: bool = False) -> DataFrame:
@@ -77,9 +87,9 @@ def asof(left: DataFrame, right: DataFrame, values: Sequence[str], forward: bool
     row = F.struct(F.col("t_us").alias("at_us"), *values)
     a = left.select("uuid", "t_us", "id", F.lit(None).cast(right.select(row.alias("r")).schema["r"].dataType).alias("r"), F.lit(0 if forward else 1).alias("side"))
     b = right.select("uuid", "t_us", F.lit(None).cast(left.schema["id"].dataType).alias("id"), row.alias("r"), F.lit(1 if forward else 0).alias("side"))
-    order = Window.partitionBy("uuid").orderBy("t_us", "side", "r")
-    frame = order.rowsBetween(0, Window.unboundedFollowing) if forward else order.rowsBetween(Window.unboundedPreceding, 0)
-    filled = a.unionByName(b).withColumn("m", (F.first if forward else F.last)("r", ignorenulls=True).over(frame))
+    turn = F.desc if forward else F.asc  # forward is backward in reversed time, as only a frame that runs is linear
+    frame = Window.partitionBy("uuid").orderBy(turn("t_us"), turn("side"), turn("r")).rowsBetween(Window.unboundedPreceding, 0)
+    filled = a.unionByName(b).withColumn("m", F.last("r", ignorenulls=True).over(frame))
     return filled.where("id IS NOT NULL").select("uuid", "t_us", "id", *[F.col("m")[c].alias(c) for c in cols])
 
 

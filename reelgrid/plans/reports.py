@@ -13,8 +13,9 @@ from reelgrid.plans.evaluation import BEST, LAB, PAIRS
 from reelgrid.session import table
 
 
-def _best(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.best_results(table(spark, sf, "clip_results"))
+def _best(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Best rows with only these columns beside what chooses them, as all that is kept is shuffled."""
+    return ev.best_results(table(spark, sf, "clip_results").select(*dict.fromkeys(["run_id", "uuid", "shard_no", "loaded_at", "n_frames", *columns])))
 
 
 def _tax(spark: SparkSession, sf: str) -> ev.Taxonomy:
@@ -35,7 +36,7 @@ def parse_answers(spark: SparkSession, sf: str) -> DataFrame:
 def tier_score(spark: SparkSession, sf: str) -> DataFrame:
     """The greatest group score of each clip and run that lies on the scale."""
     m = packed.parse_packed(F.col("group_scores"))
-    return _best(spark, sf).select("run_id", "uuid", F.array_max(F.filter(F.map_values(m), lambda v: v.between(0, 4))).alias("tier"))
+    return _best(spark, sf, "group_scores").select("run_id", "uuid", F.array_max(F.filter(F.map_values(m), lambda v: v.between(0, 4))).alias("tier"))
 
 
 def slug_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,15 +45,19 @@ def slug_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbers of each event's chunk list."""
-    df = table(spark, sf, "assignments").select("event_id", "received_at", chunks.parse_chunks(F.col("chunks")).alias("ns"))
-    return df.where("ns IS NOT NULL").select("event_id", "received_at", F.size("ns").alias("n"), F.col("ns")[0].alias("least"), F.element_at("ns", -1).alias("greatest"), F.aggregate("ns", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    """How many numbers each event's chunk list names, the least, the greatest and their sum (null beyond a long)."""
+    df = table(spark, sf, "assignments").select("event_id", "received_at", chunks.merged(chunks.ranges(F.col("chunks"))).alias("rs")).where("size(rs) > 0")
+    count = lambda r: r["hi"] - r["lo"] + 1
+    half = lambda r: F.when(count(r) % 2 == 0, F.try_multiply(F.expr("1L") * (count(r) / 2).cast("bigint"), F.try_add(r["lo"], r["hi"]))).otherwise(F.try_multiply(count(r), r["lo"] + ((r["hi"] - r["lo"]) / 2).cast("bigint")))
+    zero = F.lit(0).cast("bigint")
+    n, total = F.aggregate("rs", zero, lambda a, r: F.try_add(a, count(r))), F.aggregate("rs", zero, lambda a, r: F.try_add(a, half(r)))
+    return df.select("event_id", "received_at", n.try_cast("int").alias("n"), F.col("rs")[0]["lo"].alias("least"), F.element_at("rs", -1)["hi"].alias("greatest"), total.alias("total"))
 
 
 def chunk_format(spark: SparkSession, sf: str) -> DataFrame:
     """Chunk lists in their plain form."""
-    df = table(spark, sf, "assignments").select("event_id", "received_at", chunks.parse_chunks(F.col("chunks")).alias("ns"))
-    return df.where("ns IS NOT NULL").select("event_id", "received_at", chunks.format_chunks(F.col("ns")).alias("spec"))
+    df = table(spark, sf, "assignments").select("event_id", "received_at", chunks.merged(chunks.ranges(F.col("chunks"))).alias("rs")).where("size(rs) > 0")
+    return df.select("event_id", "received_at", chunks.format_ranges(F.col("rs")).alias("spec"))
 
 
 def coerce_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,68 +69,68 @@ def coerce_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def distribution(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics of each score by run."""
-    return ag.distribution(ag.rated(_best(spark, sf)))
+    return ag.distribution(ag.rated(_best(spark, sf, *ev.AXES, "tier_score")))
 
 
 def score_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts and shares of each score's values by run."""
-    return ag.score_counts(ag.rated(_best(spark, sf)))
+    return ag.score_counts(ag.rated(_best(spark, sf, *ev.AXES, "tier_score")))
 
 
 def class_frequency_cli(spark: SparkSession, sf: str) -> DataFrame:
     """How often each class is written."""
-    return ag.class_frequency(_best(spark, sf), _tax(spark, sf))
+    return ag.class_frequency(_best(spark, sf, "classes"), _tax(spark, sf))
 
 
 def class_frequency_gui(spark: SparkSession, sf: str) -> DataFrame:
     """How many clips have each class."""
-    return ag.class_frequency(_best(spark, sf), _tax(spark, sf), distinct=True)
+    return ag.class_frequency(_best(spark, sf, "classes"), _tax(spark, sf), distinct=True)
 
 
 def classes_per_clip(spark: SparkSession, sf: str) -> DataFrame:
     """Histogram of the number of classes."""
-    return ag.classes_per_clip(_best(spark, sf))
+    return ag.classes_per_clip(_best(spark, sf, "classes"))
 
 
 def cooccur_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Most frequent pairs of classes by run."""
-    return ag.cooccurring(_best(spark, sf))
+    return ag.cooccurring(_best(spark, sf, "classes"))
 
 
 def overview(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of each run."""
-    return ag.overview(_best(spark, sf))
+    return ag.overview(_best(spark, sf, "classes", "parse_ok"))
 
 
 def search_mining(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions with a class of two, a score of 2 and more and a view that isn't clear."""
-    return search.search_results(_best(spark, sf), search.Facets(classes=("Roadworks", "Walker in lane"), score=(2, 4), axes={"atmospheric_obscurants": (1, None)}, limit=300)).select("run_id", "uuid", F.array_join("names", "|").alias("names"), "score_max")
+    return search.search_results(_best(spark, sf, "classes", "group_scores", *ev.AXES, "observation", "ego_behavior", "unusual_elements", "score_reason"), search.Facets(classes=("Roadworks", "Walker in lane"), score=(2, 4), axes={"atmospheric_obscurants": (1, None)}, limit=300)).select("run_id", "uuid", F.array_join("names", "|").alias("names"), "score_max")
 
 
 def search_text(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions without Roadworks whose texts speak of the lane."""
-    return search.search_results(_best(spark, sf), search.Facets(text="LANE", classes=("Roadworks",), mode="none", special="special", limit=10_000_000)).select("run_id", "uuid", "score_max")
+    return search.search_results(_best(spark, sf, "classes", "group_scores", *ev.AXES, "observation", "ego_behavior", "unusual_elements", "score_reason"), search.Facets(text="LANE", classes=("Roadworks",), mode="none", special="special", limit=None)).select("run_id", "uuid", "score_max")
 
 
 def search_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Labels with scores of 1 and more in dim light."""
-    return search.search_labels(ev.current_labels(table(spark, sf, "labels_store")), search.Facets(score=(1, 4), axes={"illumination": (1, 3)}, limit=10_000_000)).select("uuid", "score_max")
+    return search.search_labels(ev.current_labels(table(spark, sf, "labels_store")), search.Facets(score=(1, 4), axes={"illumination": (1, 3)}, limit=None)).select("uuid", "score_max")
 
 
 def search_false_positives(spark: SparkSession, sf: str) -> DataFrame:
     """Labels for which one run predicted a class too many."""
-    run = _best(spark, sf).where("run_id = '20260614_093000_full'").select("uuid", packed.split_classes(F.col("classes")).alias("pred"))
-    return search.search_labels(ev.current_labels(table(spark, sf, "labels_store")), search.Facets(outcome="fp", limit=10_000_000), run).select("uuid", F.array_join("names", "|").alias("names"))
+    run = _best(spark, sf, "classes").where("run_id = '20260614_093000_full'").select("uuid", packed.split_classes(F.col("classes")).alias("pred"))
+    return search.search_labels(ev.current_labels(table(spark, sf, "labels_store")), search.Facets(outcome="fp", limit=None), run).select("uuid", F.array_join("names", "|").alias("names"))
 
 
 def recheck_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Clips and classes to ask about."""
-    return recheck.candidates(_best(spark, sf), table(spark, sf, "taxonomy"))
+    return recheck.candidates(_best(spark, sf, "classes", "parse_ok", "observation", "ego_behavior", "unusual_elements"), table(spark, sf, "taxonomy"))
 
 
 def recheck_open(spark: SparkSession, sf: str) -> DataFrame:
     """Clips and classes to ask about that have no answer yet."""
-    return recheck.open_questions(_best(spark, sf), table(spark, sf, "taxonomy"), table(spark, sf, "recheck_answers"))
+    return recheck.open_questions(_best(spark, sf, "classes", "parse_ok", "observation", "ego_behavior", "unusual_elements"), table(spark, sf, "taxonomy"), table(spark, sf, "recheck_answers"))
 
 
 def recheck_apply(spark: SparkSession, sf: str) -> DataFrame:

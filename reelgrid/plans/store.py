@@ -10,7 +10,7 @@ from reelgrid.functions.times import epoch_us
 from reelgrid.operators import changes, labelstore, lineage, numbering, spans, tensors, timeseries
 from reelgrid.operators import evaluate as ev
 from reelgrid.plans.evaluation import BEST
-from reelgrid.session import cut, scratch, table
+from reelgrid.session import scratch, table
 
 LAYERS = 8
 
@@ -59,21 +59,18 @@ def progress_counts(spark: SparkSession, sf: str) -> DataFrame:
     return labelstore.progress(_clips(spark, sf), _current(spark, sf))
 
 
-def _state(spark: SparkSession, sf: str) -> DataFrame:
-    return changes.assigned_chunks(table(spark, sf, "assignments"), scratch(spark, "assignments"), widest=None)
+def _assigned(spark: SparkSession, sf: str) -> DataFrame:
+    return changes.assigned_ranges(table(spark, sf, "assignments"), scratch(spark, "assignments"))
 
 
 def assignment_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of each user."""
-    return labelstore.assignment_summary(_state(spark, sf))
+    return labelstore.assignment_summary(_assigned(spark, sf))
 
 
 def auto_assign(spark: SparkSession, sf: str) -> DataFrame:
     """Free chunks of each store dealt to three users."""
-    state = cut(_state(spark, sf))
-    reach = state.groupBy("store_id").agg(F.max("chunk").alias("top"))
-    free = reach.select("store_id", F.explode(F.sequence(F.lit(0).cast("bigint"), "top")).alias("chunk")).join(state, ["store_id", "chunk"], "left_anti")
-    return labelstore.auto_assign(free, ["ann", "bob", "cleo"], 5)
+    return labelstore.auto_assign(labelstore.free_ranges(_assigned(spark, sf)), ["ann", "bob", "cleo"], 5)
 
 
 def next_unlabeled(spark: SparkSession, sf: str) -> DataFrame:
@@ -207,7 +204,7 @@ def _cells(spark: SparkSession, sf: str) -> DataFrame:
 
 def attention_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """Bucket shares of tokens against the mean."""
-    return tensors.bucket_ratio(_cells(spark, sf), LAYERS)
+    return tensors.bucket_ratio(table(spark, sf, "embeddings"), LAYERS)
 
 
 def spatial_means(spark: SparkSession, sf: str) -> DataFrame:
