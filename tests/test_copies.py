@@ -49,3 +49,32 @@ def test_matrix_is_additive(spark):
     for b, r in whole.items():
         parts = [x[b] for x in (even, odd) if b in x]
         assert r.n == sum(p.n for p in parts) and r.k == [sum(p.k[j] for p in parts) for j in range(4)]
+
+
+def test_null_and_nul_differ(spark):
+    df = spark.createDataFrame([("a", 1, None), ("b", 1, "\0"), ("c", 1, ""), ("d", 1, None)], "k string, v int, x string")
+    other = spark.createDataFrame([("a", 1, "\0"), ("b", 1, None), ("c", 1, None), ("d", 1, None)], "k string, v int, x string")
+    spec = lambda t: copies.CopySpec(t["k"], t["v"], {"x": t["x"]})
+    for buckets in (1, 4096):
+        out = copies.differences(df, other, spec(df), spec(other), left_name="l", right_name="r", buckets=buckets)
+        assert sorted(tuple(r) for r in out.collect()) == [(k, "differs", "x") for k in "abc"]
+
+
+def test_versions_of_other_types_and_ties(spark):
+    rows = [("a", "2026-01-01 00:00:00", "x", "p"), ("a", "2026-01-02 00:00:00", "y", "q"), ("a", "2026-01-02 00:00:00", "z", "p"), ("b", None, "x", "p")]
+    df = spark.createDataFrame(rows, "k string, t string, x string, y string").withColumn("t", F.col("t").cast("timestamp"))
+    back = spark.createDataFrame(rows[::-1], "k string, t string, x string, y string").withColumn("t", F.col("t").cast("timestamp"))
+    spec = lambda t: copies.CopySpec(t["k"], t["t"], {"x": t["x"], "y": t["y"]})
+    assert copies.differences(df, back, spec(df), spec(back), left_name="l", right_name="r").collect() == []
+    one = df.where("x <> 'z'")
+    out = {tuple(r) for r in copies.differences(one, back, spec(one), spec(back), left_name="l", right_name="r").collect()}
+    assert out <= {("a", "differs", "x"), ("a", "differs", "y")} and out
+
+
+def test_many_unequal_buckets(spark, monkeypatch):
+    store = [row(f"u{i}", d=i % 3) for i in range(300)]
+    mirror = [row(f"u{i}", d=0) for i in range(300)]
+    want = diff(spark, store, mirror, 4096)
+    monkeypatch.setattr(copies, "SMALL", 3)
+    assert diff(spark, store, mirror, 4096) == want == {(f"u{i}", "differs", D) for i in range(300) if i % 3}
+    assert copies.bucket_count(spark.range(10)) == copies.BUCKETS and copies.bucket_count(spark.range(100_000_000)) == 1 << 19
