@@ -26,16 +26,21 @@ def int_loose(text: Column) -> Column:
 
 
 def packed_entries(cell: Column) -> Column:
-    """array<struct<k, v>> of a 'k=v|k=v' cell: split at the last '=', of a repeated key the last."""
+    """array<struct<k, v>> of a 'k=v|k=v' cell: split at the last '=', keys where they stand first, of a repeated key the last value."""
 
     def read(p: Column) -> Column:
-        k = F.trim(F.regexp_extract(p, r"(?s)^(.*)=([^=]*)$", 1))
-        v = int_strict(F.regexp_extract(p, r"(?s)^(.*)=([^=]*)$", 2))
-        return F.when((k != "") & v.isNotNull(), F.struct(k.alias("k"), v.alias("v")))
+        v = F.substring_index(p, "=", -1)
+        k = F.trim(F.substr(p, F.lit(1), F.greatest(F.length(p) - F.length(v) - 1, F.lit(0))))
+        return F.struct(k.alias("k"), int_strict(v).alias("v"))
 
-    found = F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), r"\|"), read), lambda e: e.isNotNull())
-    later = lambda e, i: F.exists(F.slice(found, i + 2, F.size(found)), lambda f: f["k"] == e["k"])
-    return F.filter(found, lambda e, i: ~later(e, i))
+    found = F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), r"\|"), read), lambda e: (e["k"] != "") & e["v"].isNotNull())
+
+    def once(es: Column) -> Column:
+        keys = F.array_distinct(F.transform(es, lambda e: e["k"]))
+        value = lambda k: F.element_at(F.filter(es, lambda e: e["k"] == k), -1)["v"]
+        return F.when(F.size(keys) == F.size(es), es).otherwise(F.transform(keys, lambda k: F.struct(k.alias("k"), value(k).alias("v"))))
+
+    return F.transform(F.array(found), once)[0]
 
 
 def parse_packed(cell: Column) -> Column:
@@ -43,6 +48,11 @@ def parse_packed(cell: Column) -> Column:
     return F.map_from_entries(packed_entries(cell))
 
 
+def pack_in_order(m: Column) -> Column:
+    """A map as 'k=v|k=v', keys as they stand in it."""
+    return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), "|")
+
+
 def pack(m: Column) -> Column:
     """A map as 'k=v|k=v', keys in order."""
     keys = F.array_sort(F.map_keys(m))
@@ -65,3 +75,13 @@ def leading_score(text: Column, low: int = 0, high: int = 4) -> Column:
     head = F.regexp_extract(text, r"^\s*([0-9]+)", 1).try_cast("int")
     n = F.coalesce(number, head)
     return F.when(n.between(low, high), n)
+
+
+def values_text(values: Column) -> Column:
+    """The values of a scale in words: '0-4' where they follow each other, else '0, 1 or 3'."""
+    v = F.array_sort(F.array_distinct(values))
+    text = F.transform(v, lambda x: x.cast("string"))
+    last = F.element_at(text, -1)
+    run = F.concat_ws("-", text[0], last)
+    listed = F.concat_ws(" or ", F.nullif(F.array_join(F.slice(text, F.lit(1), F.greatest(F.size(text) - 1, F.lit(0))), ", "), F.lit("")), last)
+    return F.when(F.size(v) == 0, "").when(F.element_at(v, -1) - v[0] == F.size(v) - 1, run).otherwise(listed)

@@ -18,7 +18,7 @@ def rated(rows: DataFrame) -> DataFrame:
 
 
 def distribution(values: DataFrame) -> DataFrame:
-    """run_id, name: n rated, n_unrated, mean, population variance, exact median, least and greatest.
+    """run_id, name: n rated, n_unrated, n_outside (rated off the scale), mean, population variance and deviation, exact median, least and greatest.
 
     Counts by value are shuffled, not values, and the median is read off the counts.
     """
@@ -29,9 +29,10 @@ def distribution(values: DataFrame) -> DataFrame:
     low = F.min(F.when(F.col("upto") >= F.floor((n + 1) / 2), v))
     high = F.min(F.when(F.col("upto") >= F.floor(n / 2) + 1, v))
     mean = F.sum(v * k) / F.sum("k")
-    stats = some.groupBy("run_id", "name").agg(F.sum("k").alias("n"), mean.alias("mean"), (F.sum(v * v * k) / F.sum("k") - mean * mean).alias("var"), ((low + high) / 2).alias("median"), F.min("v").alias("least"), F.max("v").alias("greatest"))
-    every = counts.groupBy("run_id", "name").agg(F.coalesce(F.sum(F.when(v.isNull(), k)), F.lit(0)).alias("n_unrated"))
-    return every.join(stats, ["run_id", "name"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    stats = some.groupBy("run_id", "name").agg(F.sum("k").alias("n"), mean.alias("mean"), F.greatest(F.sum(v * v * k) / F.sum("k") - mean * mean, F.lit(0.0)).alias("var"), ((low + high) / 2).alias("median"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    count = lambda what, name: F.coalesce(F.sum(F.when(what, k)), F.lit(0)).alias(name)
+    every = counts.groupBy("run_id", "name").agg(count(v.isNull(), "n_unrated"), count(~v.isin(*SCALE), "n_outside"))
+    return every.join(stats, ["run_id", "name"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "std": F.sqrt("var")})
 
 
 def score_counts(values: DataFrame, scale: range = SCALE) -> DataFrame:

@@ -7,6 +7,8 @@ rows, checked) and becomes a map literal, so looking up groups needs no join.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,10 +59,14 @@ def _as_set(names: Column) -> Column:
     return F.array_sort(F.array_distinct(names))
 
 
-def matched(results: DataFrame, labels: DataFrame) -> DataFrame:
-    """run_id, uuid, gt and pred (class sets), gt_scores and pred_scores (maps), gt_<axis>, pred_<axis>, class_scores."""
-    best = best_results(results.select("run_id", "uuid", "shard_no", "loaded_at", "n_frames", "classes", "group_scores", *AXES))
-    pred = best.select("run_id", key_text(F.col("uuid")).alias("uuid"), _as_set(split_classes(F.col("classes"), trim=False)).alias("pred"), parse_packed(F.col("group_scores")).alias("pred_scores"), *[F.col(a).alias(f"pred_{a}") for a in AXES])
+def matched(results: DataFrame, labels: DataFrame, fields: bool = False) -> DataFrame:
+    """run_id, uuid, gt and pred (class sets), gt_scores and pred_scores (maps), gt_<axis>, pred_<axis>, class_scores.
+
+    fields: with pred_fields (map of scores by field, null where the run kept none) and pred_reason, for split_scores.
+    """
+    detail = ["field_scores", "score_reason"] if fields else []
+    best = best_results(results.select("run_id", "uuid", "shard_no", "loaded_at", "n_frames", "classes", "group_scores", *detail, *AXES))
+    pred = best.select("run_id", key_text(F.col("uuid")).alias("uuid"), _as_set(split_classes(F.col("classes"), trim=False)).alias("pred"), parse_packed(F.col("group_scores")).alias("pred_scores"), *[F.col(a).alias(f"pred_{a}") for a in AXES], *([F.when(F.col("field_scores").isNotNull(), parse_packed(F.col("field_scores"))).alias("pred_fields"), F.col("score_reason").alias("pred_reason")] if fields else []))
     rated = F.map_filter("group_scores", lambda _, v: v.isNotNull() & (v != -1))
     gt = current_labels(labels.select("uuid", "rev", "updated_at", "class_list", "group_scores", "weather", "classes", "has_class_scores")).where("class_list IS NOT NULL")
     gt = gt.select("uuid", _as_set("class_list").alias("gt"), F.coalesce(rated, F.create_map().cast("map<string,int>")).alias("gt_scores"), F.when(F.col("has_class_scores"), F.col("classes")).alias("class_scores"), *[F.try_element_at("weather", F.lit(a)).alias(f"gt_{a}") for a in AXES])
@@ -151,20 +157,91 @@ def restrict_to_group(pairs: DataFrame, tax: Taxonomy, group: str) -> DataFrame:
     return pairs.withColumns({"gt": F.array_intersect("gt", keep), "gt_scores": F.map_filter("gt_scores", lambda k, _: k == group)})
 
 
+def restriction_counts(pairs: DataFrame, tax: Taxonomy, group: str) -> DataFrame:
+    """run_id, n, n_drop (labelled classes that restricting to a group takes off), n_normal (clips that are left without any)."""
+    rows = restrict_to_group(pairs.withColumn("_every", F.size("gt")), tax, group)
+    kept = F.size("gt")
+    return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_every") - kept).cast("bigint").alias("n_drop"), F.count_if((F.col("_every") > 0) & (kept == 0)).alias("n_normal"))
+
+
+def class_table(counts: DataFrame, tax: Taxonomy) -> DataFrame:
+    """run_id, class_name, group_name, support, tp, fp, fn, place: a run's classes in the order of a report, by group (unknown names
+    last), catch-all classes last in theirs, then by support and name."""
+    groups = list(dict.fromkeys(tax.groups.values()))
+    group = tax.group(F.col("class_name"))
+    at = F.nullif(F.array_position(F.array(*map(F.lit, groups)).cast("array<string>"), group), F.lit(0))
+    order = Window.partitionBy("run_id").orderBy(at.asc_nulls_last(), F.col("class_name").isin(*tax.unknown), F.desc("support"), "class_name")
+    return counts.select("run_id", "class_name", group.alias("group_name"), "support", "tp", "fp", "fn", F.row_number().over(order).alias("place"))
+
+
 def drop_unknown(pairs: DataFrame, tax: Taxonomy) -> DataFrame:
-    """Catch-all classes taken off both sides; a group that has no class left then scores 0."""
+    """Catch-all classes taken off both sides; a group that has no class left then scores 0.
+
+    gt_dropped and pred_dropped are the groups of the classes that were taken off.
+    """
     unknown = F.array(*map(F.lit, sorted(tax.unknown))).cast("array<string>")
 
-    def side(classes: str, scores: str) -> tuple[Column, Column]:
+    def side(classes: str, scores: str) -> tuple[Column, Column, Column]:
         rest = F.array_except(classes, unknown)
         hit = F.transform(F.array_intersect(classes, unknown), tax.group)
         left = F.transform(rest, tax.group)
         zero = F.transform_values(scores, lambda g, n: F.when(F.array_contains(hit, g) & ~F.coalesce(F.array_contains(left, g), F.lit(False)), F.lit(0)).otherwise(n))
-        return rest, zero
+        return rest, zero, F.array_compact(F.array_distinct(hit))
+
+    gt, gs, gd = side("gt", "gt_scores")
+    pred, ps, pd = side("pred", "pred_scores")
+    return pairs.withColumns({"gt": gt, "gt_scores": gs, "gt_dropped": gd, "pred": pred, "pred_scores": ps, "pred_dropped": pd})
 
-    gt, gs = side("gt", "gt_scores")
-    pred, ps = side("pred", "pred_scores")
-    return pairs.withColumns({"gt": gt, "gt_scores": gs, "pred": pred, "pred_scores": ps})
+
+def split_scores(pairs: DataFrame, tax: Taxonomy, own: Sequence[str]) -> DataFrame:
+    """run_id, uuid, name, t, p: scores of groups that have classes with a scale of their own (own), apart for these and for the rest ('<group>: Others').
+
+    Truth: the greatest score of the label's other classes of the group, and each own class'
+    score, 0 without it; labels without scores by class give none.  Prediction: 0 throughout
+    where the group's score is; else the scores by field; where a run kept none, an own class'
+    score is read from the reasons ('<class>=2: ...'), and the rest has the group's score if
+    that is greater, else it can't be told, nor can anything where a recheck added a class of
+    the group.  Of a clip of which a catch-all class was dropped and no other class of the group
+    is left the rest scores 0.  pairs: matched with fields, with or without drop_unknown.
+    """
+    dropped = F.col("pred_dropped") if "pred_dropped" in pairs.columns else F.array().cast("array<string>")
+    why = F.coalesce("pred_reason", F.lit(""))
+    cells = []
+    for g in dict.fromkeys(tax.groups[c] for c in own if c in tax.groups):
+        mine = [c for c in own if tax.groups.get(c) == g]
+        others = F.array(*[F.lit(c) for c, h in tax.groups.items() if h == g and c not in own]).cast("array<string>")
+        truth = F.col("class_scores").isNotNull() & F.map_contains_key("gt_scores", F.lit(g))
+        of = lambda c: F.coalesce(F.try_element_at("class_scores", c), F.lit(0))
+        rest_t = F.coalesce(F.array_max(F.transform(F.array_intersect("gt", others), of)), F.lit(0))
+        m = F.try_element_at("pred_scores", F.lit(g))
+        kept = F.col("pred_fields").isNotNull()
+        field = lambda name: F.coalesce(F.try_element_at("pred_fields", F.lit(name)), F.lit(0))
+        asked = F.exists(F.regexp_extract_all(why, F.lit("recheck (.+?): "), F.lit(1)), lambda x: F.coalesce(tax.group(x) == g, F.lit(False)))  # noqa: B023
+        said = {c: F.coalesce(F.regexp_extract(why, rf"(?:^| \| ){re.escape(c)}=([0-9]+):", 1).try_cast("int"), F.lit(0)) for c in mine}
+        top = F.greatest(F.lit(0), *said.values())
+        none_left = F.array_contains(dropped, g) & (F.size(F.array_intersect("pred", others)) == 0)
+        told = lambda by_field, by_reason: F.when(m == 0, 0).when(m.isNotNull() & kept, by_field).when(m.isNotNull() & ~asked, by_reason)  # noqa: B023, E731
+        rest_p = told(F.when(none_left, 0).otherwise(field(g)), F.when(none_left, 0).when(top < m, m))
+        cells.append((f"{g}: Others", F.when(truth, rest_t), rest_p))
+        for c in mine:
+            cells.append((c, F.when(truth, F.when(F.array_contains("gt", c), of(F.lit(c))).otherwise(0)), told(field(c), said[c])))
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), t.alias("t"), p.alias("p")) for n, t, p in cells])
+    return pairs.select("run_id", "uuid", F.explode(rows).alias("s")).select("run_id", "uuid", "s.*").where("t IS NOT NULL AND p IS NOT NULL")
+
+
+def folded_scores(fields: Column, classes: Column, tax: Taxonomy, own: Sequence[str] = ()) -> Column:
+    """map<string,int> from group to the greatest of its fields' scores (a map by group or class name).
+
+    A field of a class with a scale of its own counts only if the class is named, else as 0;
+    fields that name neither a group nor a class don't count.
+    """
+    groups = list(dict.fromkeys(tax.groups.values()))
+    of = lambda k: F.coalesce(F.when(k.isin(*groups), k), tax.group(k))
+    counted = lambda e: F.when(e["key"].isin(*own) & ~F.array_contains(classes, e["key"]), 0).otherwise(e["value"]) if own else e["value"]
+    each = F.transform(F.map_entries(fields), lambda e: F.struct(of(e["key"]).alias("g"), counted(e).alias("n")))
+    best = lambda g: F.array_max(F.transform(F.filter(each, lambda x: x["g"] == g), lambda x: x["n"]))
+    found = F.filter(F.array(*[F.struct(F.lit(g).alias("g"), best(g).alias("n")) for g in groups]), lambda x: x["n"].isNotNull())
+    return F.map_from_entries(found)
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
@@ -198,14 +275,15 @@ def ordinal_block(scores: DataFrame) -> DataFrame:
 
 
 def confusion(scores: DataFrame, scale: range = range(5)) -> DataFrame:
-    """run_id, name, t, p, n over the whole scale, zeros included; total and acc of the row count predictions inside it."""
+    """run_id, name, t, p, n over the whole scale, zeros included; total, acc and acc_within_one of the row count predictions inside it."""
     inside = scores.where(F.col("t").isin(*scale) & F.col("p").isin(*scale)).groupBy("run_id", "name", "t", "p").agg(F.count(F.lit(1)).alias("n"))
     cell = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t in scale for p in scale])).alias("c")
     zero = scores.select("run_id", "name").distinct().select("run_id", "name", cell).select("run_id", "name", "c.t", "c.p", F.lit(0).cast("bigint").alias("n"))
     full = inside.unionByName(zero).groupBy("run_id", "name", "t", "p").agg(F.sum("n").alias("n"))
     row = Window.partitionBy("run_id", "name", "t")
     total = F.sum("n").over(row)
-    return full.withColumns({"total": total, "acc": F.try_divide(F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).over(row), total)})
+    share = lambda hit: F.try_divide(F.sum(F.when(hit, F.col("n")).otherwise(0)).over(row), total)
+    return full.withColumns({"total": total, "acc": share(F.col("t") == F.col("p")), "acc_within_one": share(F.abs(F.col("t") - F.col("p")) <= 1)})
 
 
 def axis_summary(scores: DataFrame) -> DataFrame:

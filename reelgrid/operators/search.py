@@ -73,18 +73,27 @@ def _first(rows: DataFrame, limit: int | None) -> DataFrame:
     return rows if limit is None else rows.limit(limit)
 
 
-def search_results(best: DataFrame, facets: Facets) -> DataFrame:
-    """Predictions that fit, highest score first, then by run and uuid.  A row without scores passes any score range,
-    but one without a weather value fails a range of that axis."""
+def _fitting(best: DataFrame, facets: Facets) -> DataFrame:
     rows = best.withColumns({"names": split_classes(F.col("classes")), "score_max": top_score(parse_packed(F.col("group_scores")))})
     text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("observation", "ego_behavior", "unusual_elements", "score_reason")])
     keep = contains(F.col("uuid"), facets.uuid) & has_classes(F.col("names"), facets.classes, facets.mode) & is_special(F.col("names"), facets.special) & in_bounds(F.col("score_max"), facets.score, missing=True) & contains(text, facets.text)
     for a, b in facets.axes.items():
         keep = keep & in_bounds(F.col(a), b)
-    out = rows.where(keep).select("run_id", "uuid", "names", "score_max", *AXES)
+    return rows.where(keep)
+
+
+def search_results(best: DataFrame, facets: Facets) -> DataFrame:
+    """Predictions that fit, highest score first, then by run and uuid.  A row without scores passes any score range,
+    but one without a weather value fails a range of that axis."""
+    out = _fitting(best, facets).select("run_id", "uuid", "names", "score_max", *AXES)
     return _first(out.orderBy(F.desc(F.coalesce("score_max", F.lit(0))), "run_id", "uuid"), facets.limit)
 
 
+def totals(best: DataFrame, facets: Facets) -> DataFrame:
+    """run_id, n: how many predictions fit, whatever the search's limit."""
+    return _fitting(best, facets).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def search_labels(labels: DataFrame, facets: Facets, predictions: DataFrame | None = None) -> DataFrame:
     """Labels that fit, highest score first, then by uuid.  A label without score or weather value fails its range.
     predictions (uuid, pred): needed for an outcome, which is ignored without them."""

@@ -11,6 +11,8 @@ from reelgrid.operators import evaluate as ev
 from reelgrid.operators import merge
 from reelgrid.session import table
 
+#: Classes with a scale of their own.
+OWN = ("Gravel road",)
 BEST = """best AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, uuid ORDER BY (coalesce(n_frames, 0) > 0) DESC, shard_no NULLS FIRST, loaded_at NULLS FIRST) AS rn FROM clip_results) WHERE rn = 1)"""
 LAB = """lab AS (
@@ -83,6 +85,9 @@ QUERIES = {
     "ordinal_block": _scores(ev.ordinal_block),
     "pooled_ordinal": _scores(lambda s: ev.ordinal_block(s.withColumns({"uuid": F.concat_ws("/", "uuid", "name"), "name": F.lit("ALL")}))),
     "confusion": _scores(ev.confusion),
+    "split_scores": lambda s, d: ev.ordinal_block(ev.split_scores(ev.drop_unknown(ev.matched(table(s, d, "clip_results"), table(s, d, "labels_store"), fields=True), _tax(s, d)), _tax(s, d), OWN)),
+    "restriction_counts": _with_tax(lambda p, t: ev.restriction_counts(p, t, "Dynamic object")),
+    "class_table": _with_tax(lambda p, t: ev.class_table(ev.class_prf(p, t), t)),
     "conflicts": _with_tax(ev.conflicts),
     "axis_summary": _scores(ev.axis_summary, ev.axis_pairs),
     "axis_ordinal": _scores(ev.ordinal_block, ev.axis_pairs),
@@ -137,7 +142,31 @@ dropped AS (SELECT run_id, list_filter(gt, lambda c: NOT list_contains(us, c)) A
     "pooled_ordinal": f"WITH {PAIRS}, {PARTS}, {SCORES}, al AS (SELECT run_id, uuid || '/' || name AS uuid, 'ALL' AS name, t, p FROM sp) {_ORDINAL.format('al')}",
     "confusion": f"""WITH {PAIRS}, {PARTS}, {SCORES}, g AS (SELECT * FROM (SELECT DISTINCT run_id, name FROM sp), (SELECT unnest(range(5)) AS t), (SELECT unnest(range(5)) AS p)),
 c AS (SELECT g.run_id, g.name, g.t::INT AS t, g.p::INT AS p, count(sp.uuid) AS n FROM g LEFT JOIN sp ON g.run_id = sp.run_id AND g.name = sp.name AND g.t = sp.t AND g.p = sp.p GROUP BY ALL)
-SELECT *, (sum(n) OVER w)::BIGINT AS total, (sum(CASE WHEN t = p THEN n ELSE 0 END) OVER w) / nullif(sum(n) OVER w, 0) AS acc FROM c WINDOW w AS (PARTITION BY run_id, name, t)""",
+SELECT *, (sum(n) OVER w)::BIGINT AS total, (sum(CASE WHEN t = p THEN n ELSE 0 END) OVER w) / nullif(sum(n) OVER w, 0) AS acc, (sum(CASE WHEN abs(t - p) <= 1 THEN n ELSE 0 END) OVER w) / nullif(sum(n) OVER w, 0) AS acc_within_one FROM c WINDOW w AS (PARTITION BY run_id, name, t)""",
+    "split_scores": f"""WITH {BEST}, {LAB}, pr AS (
+  SELECT run_id, u AS uuid, list_distinct(class_list) AS gt, CASE WHEN trim(coalesce(b.classes, '')) = '' THEN [] ELSE list_distinct(string_split(b.classes, '|')) END AS pred,
+    b.group_scores AS packed, b.field_scores AS fields, coalesce(b.score_reason, '') AS why, lab.group_scores AS gs, CASE WHEN has_class_scores THEN lab.classes END AS cs
+  FROM best b JOIN lab ON lower(trim(b.uuid)) = u),
+c AS (SELECT list(class_name) FILTER (group_name = 'Driving environment' AND NOT is_unknown AND class_name <> 'Gravel road') AS rest, list(class_name) FILTER (group_name = 'Driving environment' AND is_unknown) AS unk, list(class_name) FILTER (group_name = 'Driving environment') AS every FROM taxonomy),
+cell AS (SELECT run_id, uuid, 'g' AS what, unnest(string_split(coalesce(packed, ''), '|')) AS part, unnest(range(len(string_split(coalesce(packed, ''), '|')))) AS i FROM pr
+  UNION ALL SELECT run_id, uuid, 'f', unnest(string_split(fields, '|')), unnest(range(len(string_split(fields, '|')))) FROM pr WHERE fields IS NOT NULL),
+kv AS (SELECT run_id, uuid, what, trim(regexp_extract(part, '^(.*)=([^=]*)$', 1)) AS k, i, CASE WHEN regexp_full_match(trim(regexp_extract(part, '^(.*)=([^=]*)$', 2)), '[+-]?[0-9]+') THEN trim(regexp_extract(part, '^(.*)=([^=]*)$', 2))::INT END AS v FROM cell),
+val AS (SELECT run_id, uuid, what, k, arg_max(v, i) AS v FROM kv WHERE k <> '' AND v IS NOT NULL GROUP BY ALL),
+v3 AS (SELECT run_id, uuid, max(v) FILTER (what = 'g' AND k = 'Driving environment') AS m0, max(v) FILTER (what = 'f' AND k = 'Driving environment') AS fg, max(v) FILTER (what = 'f' AND k = 'Gravel road') AS fo FROM val GROUP BY ALL),
+d AS (
+  SELECT pr.run_id, pr.uuid, gt, cs, fields, why, c.rest, gs['Driving environment'] AS g0, list_has_any(pred, unk) AS dropped, len(list_intersect(pred, list_filter(c.every, lambda x: NOT list_contains(unk, x)))) > 0 AS some_left, len(list_intersect(pred, c.rest)) > 0 AS rest_left, m0, fg, fo,
+    list_has_any(regexp_extract_all(why, 'recheck (.+?): ', 1), c.every) AS asked, coalesce(try_cast(nullif(regexp_extract(why, '(?:^| \| )Gravel road=([0-9]+):', 1), '') AS INT), 0) AS said
+  FROM pr LEFT JOIN v3 USING (run_id, uuid), c),
+e AS (SELECT *, CASE WHEN m0 IS NOT NULL AND dropped AND NOT some_left THEN 0 ELSE m0 END AS m FROM d WHERE cs IS NOT NULL AND g0 IS NOT NULL AND g0 <> -1 AND m0 IS NOT NULL),
+x AS (
+  SELECT run_id, uuid, 'Driving environment: Others' AS name, coalesce(list_max(list_transform(list_intersect(gt, rest), lambda k: coalesce(cs[k], 0))), 0) AS t,
+    CASE WHEN m = 0 THEN 0 WHEN dropped AND NOT rest_left AND (fields IS NOT NULL OR NOT asked) THEN 0 WHEN fields IS NOT NULL THEN coalesce(fg, 0) WHEN asked THEN NULL WHEN greatest(said, 0) < m THEN m END AS p FROM e
+  UNION ALL SELECT run_id, uuid, 'Gravel road', CASE WHEN list_contains(gt, 'Gravel road') THEN coalesce(cs['Gravel road'], 0) ELSE 0 END, CASE WHEN m = 0 THEN 0 WHEN fields IS NOT NULL THEN coalesce(fo, 0) WHEN NOT asked THEN said END FROM e),
+sx AS (SELECT * FROM x WHERE p IS NOT NULL AND t IS NOT NULL) {_ORDINAL.format('sx')}""",
+    "restriction_counts": f"""WITH {PAIRS}, k AS (SELECT list(class_name) AS cs FROM grp WHERE group_name = 'Dynamic object'), r AS (SELECT run_id, gt, list_intersect(gt, cs) AS kept FROM pairs, k)
+SELECT run_id, count(*) AS n, sum(len(gt) - len(kept))::BIGINT AS n_drop, count(*) FILTER (len(gt) > 0 AND len(kept) = 0) AS n_normal FROM r GROUP BY run_id""",
+    "class_table": f"""WITH {PAIRS}, {_classes('gt', 'NOT coalesce(is_unknown, false)')}, s AS (SELECT *, tp + fn AS support, {PRF} FROM counts), g AS (SELECT group_name, min(group_pos) AS gp FROM taxonomy GROUP BY 1)
+SELECT s.run_id, s.class_name, t.group_name, support, tp, fp, fn, (row_number() OVER (PARTITION BY s.run_id ORDER BY g.gp NULLS LAST, coalesce(t.is_unknown, false), support DESC, s.class_name))::INT AS place FROM s LEFT JOIN taxonomy t USING (class_name) LEFT JOIN g USING (group_name)""",
     "conflicts": f"""WITH {PAIRS}, {PARTS},
 both_sides AS (SELECT run_id, 'gt' AS side, name, t AS v, uuid FROM gt UNION ALL SELECT run_id, 'pred', name, p, uuid FROM ps),
 j AS (SELECT b.*, len(list_intersect(CASE WHEN side = 'gt' THEN p.gt ELSE p.pred END, coalesce(cs, []))) > 0 AS has FROM both_sides b JOIN pairs p USING (run_id, uuid) LEFT JOIN (SELECT group_name, list(class_name) AS cs FROM grp GROUP BY 1) g ON g.group_name = b.name)

@@ -25,10 +25,11 @@ QUOTIENTS: dict[str, str] = {
     "unknown_dropped_verdict": "precision recall f1 accuracy specificity",
     "ordinal_block": "mse exact within_one exact_nz within_one_nz base_mse base_exact",
     "pooled_ordinal": "mse exact within_one exact_nz within_one_nz base_mse base_exact",
-    "confusion": "acc",
+    "confusion": "acc acc_within_one",
+    "split_scores": "mse exact within_one exact_nz within_one_nz base_mse base_exact",
     "axis_summary": "mse exact within_one mean_gt mean_pred",
     "axis_ordinal": "mse exact within_one exact_nz within_one_nz base_mse base_exact",
-    "distribution": "mean var median",
+    "distribution": "mean var std median",
     "score_counts": "share_rated share_all",
     "class_frequency_cli": "share_all share_special",
     "class_frequency_gui": "share_all share_special",

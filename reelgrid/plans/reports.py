@@ -9,10 +9,13 @@ from reelgrid.functions import answers, chunks, packed
 from reelgrid.operators import aggregate as ag
 from reelgrid.operators import evaluate as ev
 from reelgrid.operators import recheck, search
-from reelgrid.plans.evaluation import BEST, LAB, PAIRS
+from reelgrid.plans.evaluation import BEST, LAB, OWN, PAIRS
 from reelgrid.session import table
 
 
+TEXTS = ("observation", "ego_behavior", "unusual_elements", "score_reason")
+
+
 def _best(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """Best rows with only these columns beside what chooses them, as all that is kept is shuffled."""
     return ev.best_results(table(spark, sf, "clip_results").select(*dict.fromkeys(["run_id", "uuid", "shard_no", "loaded_at", "n_frames", *columns])))
@@ -104,12 +107,12 @@ def overview(spark: SparkSession, sf: str) -> DataFrame:
 
 def search_mining(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions with a class of two, a score of 2 and more and a view that isn't clear."""
-    return search.search_results(_best(spark, sf, "classes", "group_scores", *ev.AXES, "observation", "ego_behavior", "unusual_elements", "score_reason"), search.Facets(classes=("Roadworks", "Walker in lane"), score=(2, 4), axes={"atmospheric_obscurants": (1, None)}, limit=300)).select("run_id", "uuid", F.array_join("names", "|").alias("names"), "score_max")
+    return search.search_results(_best(spark, sf, "classes", "group_scores", *ev.AXES, *TEXTS), search.Facets(classes=("Roadworks", "Walker in lane"), score=(2, 4), axes={"atmospheric_obscurants": (1, None)}, limit=300)).select("run_id", "uuid", F.array_join("names", "|").alias("names"), "score_max")
 
 
 def search_text(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions without Roadworks whose texts speak of the lane."""
-    return search.search_results(_best(spark, sf, "classes", "group_scores", *ev.AXES, "observation", "ego_behavior", "unusual_elements", "score_reason"), search.Facets(text="LANE", classes=("Roadworks",), mode="none", special="special", limit=None)).select("run_id", "uuid", "score_max")
+    return search.search_results(_best(spark, sf, "classes", "group_scores", *ev.AXES, *TEXTS), search.Facets(text="LANE", classes=("Roadworks",), mode="none", special="special", limit=None)).select("run_id", "uuid", "score_max")
 
 
 def search_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,10 +138,45 @@ def recheck_open(spark: SparkSession, sf: str) -> DataFrame:
 
 def recheck_apply(spark: SparkSession, sf: str) -> DataFrame:
     """Results with the answers worked in."""
-    return recheck.apply_answers(_best(spark, sf), table(spark, sf, "recheck_answers")).select("run_id", "uuid", "verdict", "n_classes", "classes", "tier_score", F.length("score_reason").alias("reason_length"))
+    columns = ("verdict", "n_classes", "classes", "group_scores", "field_scores", "tier_score", "score_reason")
+    return recheck.apply_answers(_best(spark, sf, *columns), table(spark, sf, "recheck_answers"), own=OWN).select("run_id", "uuid", *columns)
+
+
+def fold_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Group scores as they follow from scores by field."""
+    rows = _best(spark, sf, "field_scores", "classes").where("field_scores IS NOT NULL")
+    folded = ev.folded_scores(packed.parse_packed(F.col("field_scores")), packed.split_classes(F.col("classes")), _tax(spark, sf), OWN)
+    return rows.select("run_id", "uuid", F.explode(folded).alias("name", "score"))
+
+
+def search_all_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions that have both of two classes."""
+    found = search.search_results(_best(spark, sf, "classes", "group_scores", *ev.AXES, *TEXTS), search.Facets(classes=("Walker in lane", "Roadworks"), mode="all", limit=None))
+    return found.select("run_id", "uuid", F.array_join("names", "|").alias("names"), "score_max", *ev.AXES)
+
+
+def search_total(spark: SparkSession, sf: str) -> DataFrame:
+    """How many predictions fit a search whose list is cut, by run."""
+    return search.totals(_best(spark, sf, "classes", "group_scores", *ev.AXES, *TEXTS), search.Facets(classes=("Roadworks", "Walker in lane"), score=(2, 4), axes={"atmospheric_obscurants": (1, None)}, limit=300))
+
+
+def _outcome(spark: SparkSession, sf: str, wanted: str) -> DataFrame:
+    run = _best(spark, sf, "classes").where("run_id = '20260614_093000_full'").select("uuid", packed.split_classes(F.col("classes")).alias("pred"))
+    found = search.search_labels(ev.current_labels(table(spark, sf, "labels_store")), search.Facets(outcome=wanted, limit=None), run)
+    return found.select("uuid", F.array_join("names", "|").alias("names"), "score_max", "note")
+
+
+def search_true_positives(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels with classes for which one run predicted some too."""
+    return _outcome(spark, sf, "tp")
+
+
+def search_misses(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of which one run missed a class."""
+    return _outcome(spark, sf, "fn")
 
 
-_ALL = (parse_packed, parse_answers, tier_score, slug_keys, chunk_parse, chunk_format, coerce_scores, distribution, score_counts, class_frequency_cli, class_frequency_gui, classes_per_clip, cooccur_topk, overview, search_mining, search_text, search_labels, search_false_positives, recheck_candidates, recheck_open, recheck_apply)
+_ALL = (parse_packed, parse_answers, tier_score, slug_keys, chunk_parse, chunk_format, coerce_scores, distribution, score_counts, class_frequency_cli, class_frequency_gui, classes_per_clip, cooccur_topk, overview, search_mining, search_text, search_labels, search_false_positives, recheck_candidates, recheck_open, recheck_apply, fold_fields, search_all_classes, search_total, search_true_positives, search_misses)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _KV = """parts AS (SELECT {0}, unnest(string_split(coalesce(group_scores, ''), '|')) AS part, unnest(range(len(string_split(coalesce(group_scores, ''), '|')))) AS i FROM {1}),
@@ -173,7 +211,7 @@ SELECT event_id, received_at, string_agg(t, ', ' ORDER BY lo) AS spec FROM r GRO
     "coerce_scores": """WITH j AS (SELECT answer_id, regexp_extract(raw, '(?s)\\{.*\\}', 0) AS b FROM recheck_answers WHERE parse_ok), s AS (SELECT answer_id, json_extract_string(b, '$.score') AS w FROM j),
 n AS (SELECT answer_id, CASE WHEN regexp_full_match(trim(w), '-?[0-9]+(\\.[0-9]+)?') THEN round_even(trim(w)::DOUBLE, 0)::INT WHEN regexp_matches(w, '^\\s*[0-9]+') THEN regexp_extract(w, '^\\s*([0-9]+)', 1)::INT END AS v FROM s WHERE w IS NOT NULL)
 SELECT answer_id, CASE WHEN v BETWEEN 0 AND 4 THEN v END AS score FROM n""",
-    "distribution": f"WITH {BEST}, {_RATED} SELECT run_id, name, count(v) AS n, count(*) - count(v) AS n_unrated, avg(v) AS mean, var_pop(v) AS var, median(v)::DOUBLE AS median, min(v) AS least, max(v) AS greatest FROM rated GROUP BY ALL",
+    "distribution": f"WITH {BEST}, {_RATED} SELECT run_id, name, count(v) AS n, count(*) - count(v) AS n_unrated, count(*) FILTER (v NOT BETWEEN 0 AND 4) AS n_outside, avg(v) AS mean, var_pop(v) AS var, stddev_pop(v) AS std, median(v)::DOUBLE AS median, min(v) AS least, max(v) AS greatest FROM rated GROUP BY ALL",
     "score_counts": f"""WITH {BEST}, {_RATED}, g AS (SELECT DISTINCT run_id, name, s::INT AS v FROM rated, (SELECT unnest(range(5)) AS s) UNION SELECT run_id, name, v FROM rated WHERE v IS NOT NULL),
 t AS (SELECT run_id, name, count(v) AS r, count(*) AS a FROM rated GROUP BY ALL), c AS (SELECT run_id, name, v, count(*) AS n FROM rated GROUP BY ALL)
 SELECT g.run_id, g.name, g.v, coalesce(n, 0) AS n, coalesce(n, 0) / nullif(r, 0) AS share_rated, coalesce(n, 0) / a AS share_all FROM g JOIN t USING (run_id, name) LEFT JOIN c ON g.run_id = c.run_id AND g.name = c.name AND g.v = c.v""",
@@ -194,14 +232,33 @@ SELECT uuid, score_max FROM s WHERE score_max BETWEEN 1 AND 4 AND weather['illum
     "search_false_positives": f"""WITH {PAIRS} SELECT uuid, array_to_string(gt, '|') AS names FROM pairs WHERE run_id = '20260614_093000_full' AND len(list_filter(pred, lambda x: NOT list_contains(gt, x))) > 0""",
     "recheck_candidates": f"WITH {BEST}, {_CAND} SELECT * FROM cand",
     "recheck_open": f"WITH {BEST}, {_CAND} SELECT * FROM cand ANTI JOIN recheck_answers USING (run_id, uuid, class_name)",
-    "recheck_apply": f"""WITH {BEST}, {_KV.format('run_id, uuid', 'best')},
-last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, uuid, class_name ORDER BY shard_no DESC NULLS LAST, answered_at DESC NULLS LAST, answer_id DESC) AS r FROM recheck_answers) WHERE r = 1 AND present AND score >= 2),
-h AS (SELECT run_id, uuid, list(class_name ORDER BY answer_id) AS cs, sum(length('recheck ' || class_name || ': ' || coalesce(reason, ''))) + 3 * (count(*) - 1) AS rl FROM last GROUP BY ALL),
-top AS (SELECT run_id, uuid, max(v) FILTER (v BETWEEN 0 AND 4) AS m FROM (SELECT run_id, uuid, k, max(v) AS v FROM (SELECT run_id, uuid, k, v FROM packed UNION ALL SELECT run_id, uuid, group_name, score FROM last) GROUP BY ALL) GROUP BY ALL),
-j AS (SELECT b.*, h.cs, h.rl, top.m, {_NAMES} AS names FROM best b LEFT JOIN h ON b.run_id = h.run_id AND b.uuid = h.uuid LEFT JOIN top ON b.run_id = top.run_id AND b.uuid = top.uuid),
-k AS (SELECT *, list_concat(list_distinct(names), list_filter(coalesce(cs, []), lambda x: NOT list_contains(names, x))) AS every FROM j)
-SELECT run_id, uuid, CASE WHEN cs IS NULL THEN verdict ELSE 'Special' END AS verdict, CASE WHEN cs IS NULL THEN n_classes ELSE len(every)::INT END AS n_classes,
+    "recheck_apply": f"""WITH {BEST},
+last AS (SELECT *, row_number() OVER (PARTITION BY run_id, uuid ORDER BY answer_id) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id, uuid, class_name ORDER BY shard_no DESC NULLS LAST, answered_at DESC NULLS LAST, answer_id DESC) AS r FROM recheck_answers) WHERE r = 1 AND present AND score >= 2),
+h AS (SELECT run_id, uuid, list(class_name ORDER BY answer_id) AS cs, string_agg('recheck ' || class_name || ': ' || coalesce(reason, ''), ' | ' ORDER BY answer_id) AS why FROM last GROUP BY ALL),
+cell AS (
+  SELECT run_id, uuid, 'g' AS what, unnest(string_split(coalesce(group_scores, ''), '|')) AS part, unnest(range(len(string_split(coalesce(group_scores, ''), '|')))) AS i FROM best
+  UNION ALL SELECT run_id, uuid, 'f', unnest(string_split(coalesce(field_scores, ''), '|')), unnest(range(len(string_split(coalesce(field_scores, ''), '|')))) FROM best),
+kv AS (SELECT run_id, uuid, what, trim(regexp_extract(part, '^(.*)=([^=]*)$', 1)) AS k, i, CASE WHEN regexp_full_match(trim(regexp_extract(part, '^(.*)=([^=]*)$', 2)), '[+-]?[0-9]+') THEN trim(regexp_extract(part, '^(.*)=([^=]*)$', 2))::INT END AS v FROM cell),
+old AS (SELECT run_id, uuid, what, k, arg_max(v, i) AS v, min(i) AS i FROM kv WHERE k <> '' AND v IS NOT NULL GROUP BY ALL),
+both_ AS (SELECT * FROM old UNION ALL SELECT run_id, uuid, 'g', group_name, score, 1000000 + place FROM last UNION ALL SELECT run_id, uuid, 'f', CASE WHEN class_name = 'Gravel road' THEN class_name ELSE group_name END, score, 1000000 + place FROM last),
+new AS (SELECT run_id, uuid, what, k, max(v) AS v, min(i) AS i FROM both_ WHERE k IS NOT NULL GROUP BY ALL),
+text AS (SELECT run_id, uuid, string_agg(k || '=' || v, '|' ORDER BY i) FILTER (what = 'g') AS g, string_agg(k || '=' || v, '|' ORDER BY i) FILTER (what = 'f') AS f, max(v) FILTER (what = 'g' AND v BETWEEN 0 AND 4) AS m FROM new GROUP BY ALL),
+j AS (SELECT b.*, h.cs, h.why, g, f, m, {_NAMES} AS names FROM best b LEFT JOIN h ON b.run_id = h.run_id AND b.uuid = h.uuid LEFT JOIN text t ON b.run_id = t.run_id AND b.uuid = t.uuid)
+SELECT run_id, uuid, CASE WHEN cs IS NULL THEN verdict ELSE 'Special' END AS verdict, CASE WHEN cs IS NULL THEN n_classes ELSE len(list_concat(list_distinct(names), list_filter(cs, lambda x: NOT list_contains(names, x))))::INT END AS n_classes,
   CASE WHEN cs IS NULL THEN classes ELSE array_to_string(list_concat(list_filter(names, lambda x, i: list_position(names, x) = i), list_filter(cs, lambda x: NOT list_contains(names, x))), '|') END AS classes,
-  CASE WHEN cs IS NULL THEN tier_score ELSE m END AS tier_score,
-  (CASE WHEN cs IS NULL THEN length(score_reason) ELSE (rl + CASE WHEN coalesce(score_reason, '') = '' THEN 0 ELSE length(score_reason) + 3 END) END)::INT AS reason_length FROM k""",
+  CASE WHEN cs IS NULL THEN group_scores ELSE coalesce(g, '') END AS group_scores, CASE WHEN cs IS NULL THEN field_scores ELSE coalesce(f, '') END AS field_scores,
+  CASE WHEN cs IS NULL THEN tier_score ELSE m END AS tier_score, CASE WHEN cs IS NULL THEN score_reason WHEN coalesce(score_reason, '') = '' THEN why ELSE score_reason || ' | ' || why END AS score_reason FROM j""",
+    "fold_fields": f"""WITH {BEST}, fb AS (SELECT run_id, uuid, field_scores AS group_scores, {_NAMES} AS names FROM best WHERE field_scores IS NOT NULL), {_KV.format('run_id, uuid', 'fb')}
+SELECT p.run_id, p.uuid, coalesce(t.group_name, k) AS name, max(CASE WHEN k = 'Gravel road' AND NOT list_contains(names, k) THEN 0 ELSE v END) AS score
+FROM packed p JOIN fb ON p.run_id = fb.run_id AND p.uuid = fb.uuid LEFT JOIN taxonomy t ON t.class_name = k WHERE t.group_name IS NOT NULL OR k IN (SELECT group_name FROM taxonomy) GROUP BY ALL""",
+    "search_all_classes": f"""WITH {BEST}, {_KV.format('run_id, uuid', 'best')}
+SELECT b.run_id, b.uuid, array_to_string({_NAMES}, '|') AS names, score_max, illumination, precipitation, road_surface, atmospheric_obscurants FROM best b LEFT JOIN {_TOP} t ON b.run_id = t.run_id AND b.uuid = t.uuid WHERE list_has_all({_NAMES}, ['Roadworks', 'Walker in lane'])""",
+    "search_total": f"""WITH {BEST}, {_KV.format('run_id, uuid', 'best')}
+SELECT b.run_id, count(*) AS n FROM best b LEFT JOIN {_TOP} t ON b.run_id = t.run_id AND b.uuid = t.uuid WHERE list_has_any({_NAMES}, ['Roadworks', 'Walker in lane']) AND (score_max IS NULL OR score_max BETWEEN 2 AND 4) AND atmospheric_obscurants >= 1 GROUP BY b.run_id""",
+    **{
+        name: f"""WITH {PAIRS}, s AS (SELECT u, list_max(list_filter(map_values(group_scores), lambda v: v <> -1)) AS score_max, note FROM lab)
+SELECT uuid, array_to_string(gt, '|') AS names, score_max, note FROM pairs JOIN s ON s.u = uuid WHERE run_id = '20260614_093000_full' AND {test}"""
+        for name, test in (("search_true_positives", "len(gt) > 0 AND len(pred) > 0"), ("search_misses", "len(list_filter(gt, lambda x: NOT list_contains(pred, x))) > 0"))
+    },
 }
