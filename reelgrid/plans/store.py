@@ -102,6 +102,57 @@ def import_counts(spark: SparkSession, sf: str) -> DataFrame:
     return labelstore.import_counts(_current(spark, sf), _current(spark, sf, "labels_mirror"), _clips(spark, sf))
 
 
+def label_patch(spark: SparkSession, sf: str) -> DataFrame:
+    """Current labels of the store after taking over the mirror's notes and nights, and deleting what is night without a note there."""
+    mirror = _current(spark, sf, "labels_mirror")
+    puts = mirror.select("uuid", F.lit(1).alias("seq"), (F.col("note").isNull() & F.col("is_night")).alias("is_delete"), F.array(F.lit("note"), F.lit("is_night")).alias("fields"), "note", "is_night", F.lit(9).alias("rev"))
+    return labelstore.patch_labels(_current(spark, sf).select("uuid", "rev", "note", "is_night", "influenced_ego"), puts)
+
+
+def label_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """What forbids saving the mirror's labels over the store's."""
+    tax = ev.Taxonomy.of(table(spark, sf, "taxonomy"))
+    found = labelstore.label_errors(_current(spark, sf, "labels_mirror"), _current(spark, sf), tax, of_group={"Dynamic object": [0, 1, 2, 3]}, longest_note=40)
+    return found.select("uuid", F.explode("errors").alias("error"))
+
+
+def label_mismatches(spark: SparkSession, sf: str) -> DataFrame:
+    """The mirror as a kept document against the store's log."""
+    return labelstore.mismatches(_current(spark, sf, "labels_mirror"), _current(spark, sf))
+
+
+def _view(spark: SparkSession, sf: str) -> DataFrame:
+    """Clips in chunks of a hundred, all of the first store."""
+    state = changes.assigned_chunks(table(spark, sf, "assignments"), scratch(spark, "assignments"), widest=None)
+    first = table(spark, sf, "assignments").agg(F.min("store_id")).first()[0]
+    clips = numbering.in_chunks(_clips(spark, sf), [F.col("uuid")]).withColumnRenamed("chunk_no", "chunk").withColumn("store_id", F.lit(first))
+    e = table(spark, sf, "events").select(F.concat(F.lit("clip"), F.pmod("event_id", F.lit(40))).alias("uuid"), F.col("user_id").cast("string").alias("user_id"), "ts", F.col("event_id").alias("seq"))
+    claims = labelstore.active_claims(e, F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"), 90_000)
+    return labelstore.clip_view(clips, labelstore.fold(_events(spark, sf).select("uuid", "rev", "updated_at", "labeler")), claims, state)
+
+
+def clip_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Clips with label, audit, claim and assignment."""
+    return _view(spark, sf).withColumn("authors", F.coalesce(F.array_join("authors", "|"), F.lit("")))
+
+
+def user_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of one labeler."""
+    return labelstore.counts_of(_view(spark, sf), "lab01")
+
+
+def assignment_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The last thirty assignment events, each once, newest first."""
+    e = table(spark, sf, "assignments").groupBy("event_id").agg(F.min("store_id").alias("store_id"), F.min(changes.instant(F.col("ts"))).alias("t_us"), F.min("tie_no").alias("tie_no"))
+    return labelstore.last_events(e.where("t_us IS NOT NULL"), [F.desc("t_us"), F.desc("tie_no"), F.desc("event_id")])
+
+
+def unassigned_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Free chunks of each store below its last assigned one, as a list."""
+    free = labelstore.free_ranges(_assigned(spark, sf))
+    return labelstore.assignment_summary(free.withColumn("user_id", F.lit(None).cast("string"))).drop("user_id")
+
+
 def ego_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Summary of each series."""
     return timeseries.summary(_samples(spark, sf))
@@ -233,7 +284,7 @@ def span_snap(spark: SparkSession, sf: str) -> DataFrame:
     return spans.snap(spans.read_scored(rows), ["run_id", "uuid", "shard_no", "loaded_at", "class_name"])
 
 
-_ALL = (span_snap, history_fold, history_diff, poll_since, label_meta, progress_counts, assignment_summary, auto_assign, next_unlabeled, clip_list_page, active_claims, save_conflicts, import_counts, ego_summary, unwrap_heading, stopped_seconds_2hz, ego_window_join, asof_backward, asof_forward, future_horizon, valid_segments, path_gradient, per_class_quota, chunking, shard_stride_antijoin, text_fingerprint, index_fingerprint, index_last_wins, source_priority, config_diff, attention_ratio, spatial_means, sink_mask, sink_summary, decision_margin)
+_ALL = (span_snap, history_fold, history_diff, poll_since, label_meta, progress_counts, assignment_summary, auto_assign, next_unlabeled, clip_list_page, active_claims, save_conflicts, import_counts, label_patch, label_errors, label_mismatches, clip_view, user_counts, assignment_log, unassigned_chunks, ego_summary, unwrap_heading, stopped_seconds_2hz, ego_window_join, asof_backward, asof_forward, future_horizon, valid_segments, path_gradient, per_class_quota, chunking, shard_stride_antijoin, text_fingerprint, index_fingerprint, index_last_wins, source_priority, config_diff, attention_ratio, spatial_means, sink_mask, sink_summary, decision_margin)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _EV = "ev AS (SELECT * EXCLUDE (uuid), lower(trim(uuid)) AS uuid FROM labels_store)"
@@ -241,8 +292,16 @@ _CUR = "{0} AS (SELECT * FROM (SELECT * EXCLUDE (uuid), lower(trim(uuid)) AS uui
 _CLIPS = "clips AS (SELECT DISTINCT lower(trim(uuid)) AS uuid FROM clip_results)"
 _S = "s AS (SELECT user_id AS uuid, (epoch_us(ts) // 3600)::BIGINT AS t_us, value / 10 AS speed, (value - 50) / 10 AS ax, (floor(value * 700)::BIGINT % 36000) / 100 - 180 AS yaw_deg, value AS x, event_type, event_id FROM events)"
 _FIELDS = """fields AS (
-  SELECT uuid, rev, k AS field, v::VARCHAR AS val FROM (SELECT uuid, rev, unnest(map_entries(group_scores)) AS e FROM {0}) t(uuid, rev, e), LATERAL (SELECT e.key AS k, e.value AS v) WHERE v IS NOT NULL
+  SELECT uuid, rev, p || '.' || e.key AS field, e.value::VARCHAR AS val FROM (
+    SELECT uuid, rev, 'group_scores' AS p, unnest(map_entries(group_scores)) AS e FROM {0} UNION ALL SELECT uuid, rev, 'classes', unnest(map_entries(classes)) FROM {0} UNION ALL SELECT uuid, rev, 'weather', unnest(map_entries(weather)) FROM {0}) WHERE e.value IS NOT NULL
+  UNION ALL SELECT uuid, rev, 'class_list', array_to_string(list_sort(list_distinct(class_list)), '|') FROM {0} WHERE class_list IS NOT NULL
+  UNION ALL SELECT uuid, rev, 'rain_snow_fog', array_to_string(list_sort(list_distinct(rain_snow_fog)), '|') FROM {0} WHERE rain_snow_fog IS NOT NULL
+  UNION ALL SELECT uuid, rev, 'has_class_scores', has_class_scores::VARCHAR FROM {0} WHERE has_class_scores IS NOT NULL
+  UNION ALL SELECT uuid, rev, 'influenced_ego', influenced_ego::VARCHAR FROM {0} WHERE influenced_ego IS NOT NULL
+  UNION ALL SELECT uuid, rev, 'is_night', is_night::VARCHAR FROM {0} WHERE is_night IS NOT NULL
   UNION ALL SELECT uuid, rev, 'note', note FROM {0} WHERE note IS NOT NULL)"""
+#: A label as one text, to compare.
+_FLAT = "list_sort(list_transform(list_filter(map_entries(coalesce({0}.group_scores, MAP {{}})), lambda e: e.value IS NOT NULL), lambda e: e.key || e.value)), list_sort(list_transform(list_filter(map_entries(coalesce({0}.classes, MAP {{}})), lambda e: e.value IS NOT NULL), lambda e: e.key || e.value)), list_sort(list_transform(list_filter(map_entries(coalesce({0}.weather, MAP {{}})), lambda e: e.value IS NOT NULL), lambda e: e.key || e.value)), list_sort(list_distinct({0}.class_list)), list_sort(list_distinct({0}.rain_snow_fog)), {0}.has_class_scores, {0}.influenced_ego, {0}.is_night, {0}.note"
 _STATE = r"""e AS (
   SELECT store_id, event_id, try_cast(ts AS TIMESTAMPTZ) AS t, tie_no, lower(trim(action)) AS action, user_id,
     list_filter(regexp_split_to_array(coalesce(chunks, ''), '[,\s]+'), lambda x: x <> '') AS c, list_filter(regexp_split_to_array(coalesce(removed, ''), '[,\s]+'), lambda x: x <> '') AS r FROM assignments),
@@ -279,9 +338,27 @@ SELECT g AS "group", uuid, nullif(coalesce(min(CASE WHEN open THEN uuid END) OVE
     "active_claims": """WITH c AS (SELECT 'clip' || event_id % 40 AS uuid, user_id::VARCHAR AS user_id, ts, event_id FROM events WHERE ts <= TIMESTAMP '2024-01-16')
 SELECT l.uuid, l.user_id, ts + INTERVAL 90000 SECOND AS until FROM (SELECT uuid, arg_max(user_id, event_id) AS user_id, max(event_id) AS event_id, arg_max(ts, event_id) AS ts FROM c GROUP BY uuid) l
 JOIN (SELECT user_id, arg_max(uuid, event_id) AS newest FROM c GROUP BY user_id) o ON o.user_id = l.user_id AND newest = l.uuid WHERE ts + INTERVAL 90000 SECOND >= TIMESTAMP '2024-01-16'""",
-    "save_conflicts": f"""WITH {_CUR.format('cur', 'labels_store')}, {_CUR.format('mir', 'labels_mirror')}, j AS (
-  SELECT m.uuid, m.rev - 1 AS base, c.rev AS have, map_from_entries(list_filter(map_entries(coalesce(c.group_scores, MAP {{}})), lambda e: e.value IS NOT NULL)) AS a, map_from_entries(list_filter(map_entries(coalesce(m.group_scores, MAP {{}})), lambda e: e.value IS NOT NULL)) AS b, c.note AS na, m.note AS nb FROM mir m LEFT JOIN cur c USING (uuid))
-SELECT uuid, CASE WHEN coalesce(have, 0) <> coalesce(base, 0) THEN 'conflict' WHEN have IS NULL THEN 'created' WHEN list_sort(map_entries(a)) = list_sort(map_entries(b)) AND na IS NOT DISTINCT FROM nb THEN 'unchanged' ELSE 'saved' END AS outcome FROM j""",
+    "save_conflicts": f"""WITH {_CUR.format('cur', 'labels_store')}, {_CUR.format('mir', 'labels_mirror')}
+SELECT m.uuid, CASE WHEN coalesce(c.rev, 0) <> coalesce(m.rev - 1, 0) THEN 'conflict' WHEN c.uuid IS NULL THEN 'created' WHEN row({_FLAT.format('c')}) IS NOT DISTINCT FROM row({_FLAT.format('m')}) THEN 'unchanged' ELSE 'saved' END AS outcome FROM mir m LEFT JOIN cur c USING (uuid)""",
+    "label_patch": f"""WITH {_CUR.format('cur', 'labels_store')}, {_CUR.format('mir', 'labels_mirror')}
+SELECT coalesce(c.uuid, m.uuid) AS uuid, c.rev, CASE WHEN m.uuid IS NULL THEN c.note ELSE m.note END AS note, CASE WHEN m.uuid IS NULL THEN c.is_night ELSE m.is_night END AS is_night, c.influenced_ego
+FROM cur c FULL JOIN mir m USING (uuid) WHERE m.uuid IS NULL OR NOT coalesce(m.note IS NULL AND m.is_night, false)""",
+    "label_errors": f"""WITH {_CUR.format('cur', 'labels_store')}, {_CUR.format('mir', 'labels_mirror')}, j AS (SELECT m.*, c.classes AS was, c.group_scores AS gwas FROM mir m LEFT JOIN cur c USING (uuid)),
+x AS (SELECT uuid, was, unnest(map_entries(classes)) AS e FROM j), g AS (SELECT uuid, gwas, unnest(map_entries(group_scores)) AS e FROM j), w AS (SELECT uuid, unnest(map_entries(weather)) AS e FROM j)
+SELECT uuid, 'unknown class ' || e.key AS error FROM x WHERE e.key NOT IN (SELECT class_name FROM taxonomy WHERE class_name IS NOT NULL) AND NOT list_contains(map_keys(coalesce(was, MAP {{}})), e.key)
+UNION ALL SELECT uuid, 'classes.' || e.key || ' = ' || e.value FROM x WHERE e.value NOT BETWEEN 1 AND 4 AND e.value IS DISTINCT FROM was[e.key]
+UNION ALL SELECT uuid, 'group_scores.' || e.key || ' = ' || e.value FROM g WHERE NOT (CASE WHEN e.key = 'Dynamic object' THEN e.value BETWEEN 0 AND 3 ELSE e.value BETWEEN 0 AND 4 END) AND e.value IS DISTINCT FROM gwas[e.key]
+UNION ALL SELECT uuid, 'weather.' || e.key || ' = ' || e.value FROM w WHERE e.value NOT BETWEEN 0 AND 4
+UNION ALL SELECT uuid, 'unknown tag ' || t FROM (SELECT uuid, unnest(list_distinct(rain_snow_fog)) AS t FROM j) WHERE t NOT IN ('rain', 'snow', 'fog')
+UNION ALL SELECT uuid, 'note of ' || length(note) || ' characters' FROM j WHERE length(note) > 40""",
+    "label_mismatches": f"""WITH {_CUR.format('cur', 'labels_store')}, {_CUR.format('mir', 'labels_mirror')}, j AS (
+SELECT coalesce(c.uuid, m.uuid) AS uuid, CASE WHEN m.uuid IS NULL THEN 'missing' WHEN c.uuid IS NULL THEN 'extra' WHEN row({_FLAT.format('c')}) IS DISTINCT FROM row({_FLAT.format('m')}) THEN 'different' END AS state FROM cur c FULL JOIN mir m USING (uuid)) SELECT * FROM j WHERE state IS NOT NULL""",
+    "clip_view": "SELECT * REPLACE (coalesce(authors, '') AS authors) FROM (VIEW)",
+    "user_counts": "SELECT count(*) AS total, count(*) FILTER (labeled) AS n_labeled, count(*) FILTER (claimed_by IS NOT NULL) AS n_claimed, count(*) FILTER (list_contains(string_split(coalesce(authors, ''), '|'), 'lab01')) AS mine, count(*) FILTER (assignee = 'lab01') AS n_assigned, count(*) FILTER (assignee = 'lab01' AND labeled) AS assigned_labeled FROM (VIEW)",
+    "assignment_log": "SELECT event_id, min(store_id) AS store_id, min(epoch_us(try_cast(ts AS TIMESTAMPTZ))) AS t_us, min(tie_no) AS tie_no FROM assignments GROUP BY event_id HAVING t_us IS NOT NULL ORDER BY t_us DESC, tie_no DESC, event_id DESC LIMIT 30",
+    "unassigned_chunks": f"""WITH {_STATE}, f AS (SELECT store_id, unnest(range(max(chunk) + 1)) AS chunk FROM st GROUP BY store_id), o AS (SELECT * FROM f ANTI JOIN st USING (store_id, chunk)),
+g AS (SELECT *, chunk - row_number() OVER (PARTITION BY store_id ORDER BY chunk) AS island FROM o), r AS (SELECT store_id, min(chunk) AS lo, count(*) AS k, CASE WHEN count(*) = 1 THEN min(chunk)::VARCHAR ELSE min(chunk) || '-' || max(chunk) END AS t FROM g GROUP BY store_id, island)
+SELECT store_id, sum(k)::BIGINT AS n_chunks, string_agg(t, ', ' ORDER BY lo) AS chunks FROM r GROUP BY store_id""",
     "import_counts": f"WITH {_CUR.format('cur', 'labels_store')}, {_CUR.format('mir', 'labels_mirror')}, {_CLIPS} SELECT CASE WHEN c.uuid IS NULL THEN 'missing' WHEN l.uuid IS NOT NULL THEN 'kept' ELSE 'added' END AS outcome, count(*) AS n FROM mir m LEFT JOIN clips c ON c.uuid = m.uuid LEFT JOIN cur l ON l.uuid = m.uuid GROUP BY ALL",
     "ego_summary": f"""WITH {_S}, w AS (SELECT *, coalesce((t_us - lag(t_us) OVER o) / 2e6, 0) + coalesce((lead(t_us) OVER o - t_us) / 2e6, 0) AS wt, yaw_deg - lag(yaw_deg) OVER o AS d, min(t_us) OVER (PARTITION BY uuid) AS t0 FROM s WINDOW o AS (PARTITION BY uuid ORDER BY t_us))
 SELECT uuid, count(*) AS n, (max(t_us) - min(t_us)) / 1e6 AS span_s, arg_min(speed, t_us) * 3.6 AS speed_start, arg_max(speed, t_us) * 3.6 AS speed_end, min(speed) * 3.6 AS speed_min, max(speed) * 3.6 AS speed_max, min(ax) AS min_ax, max(ax) AS max_ax,
@@ -314,3 +391,15 @@ SELECT tok, bucket, round(share / (avg(share) OVER (PARTITION BY bucket) + 1e-12
     "sink_summary": f"WITH {_CELLS}, {_SINK} SELECT layer, count(*) FILTER (is_sink) AS n_sinks, count(*) AS n_buckets FROM m GROUP BY layer",
     "decision_margin": "WITH s AS (SELECT label, list_reverse_sort(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS t FROM embeddings) SELECT label, min(t[1] - t[2]) AS margin_min, avg(t[1] - t[2]) AS margin_mean, count(*) FILTER (t[1] - t[2] < 0.1) AS n_close, count(*) AS n FROM s GROUP BY label",
 }
+
+_VIEW = f"""WITH {_EV}, {_CUR.format("cur", "labels_store")}, {_CLIPS}, {_STATE},
+f AS (SELECT uuid, arg_min(updated_at, (rev, updated_at)) AS created_at FROM ev GROUP BY uuid),
+w AS (SELECT uuid, labeler.id AS who, min(rev) AS t, min(updated_at) FILTER (rev = mr) AS u FROM (SELECT *, min(rev) OVER (PARTITION BY uuid, labeler.id) AS mr FROM ev) GROUP BY ALL),
+a AS (SELECT uuid, first(who ORDER BY t, u) AS created_by, string_agg(who, '|' ORDER BY t, who) AS authors FROM w GROUP BY uuid),
+q AS (SELECT 'clip' || event_id % 40 AS uuid, user_id::VARCHAR AS user_id, ts, event_id FROM events WHERE ts <= TIMESTAMP '2024-01-16'),
+cl AS (SELECT l.uuid, l.user_id FROM (SELECT uuid, arg_max(user_id, event_id) AS user_id, max(event_id) AS event_id, arg_max(ts, event_id) AS ts FROM q GROUP BY uuid) l
+  JOIN (SELECT user_id, arg_max(uuid, event_id) AS newest FROM q GROUP BY user_id) o ON o.user_id = l.user_id AND newest = l.uuid WHERE ts + INTERVAL 90000 SECOND >= TIMESTAMP '2024-01-16'),
+n AS (SELECT uuid, (SELECT min(store_id) FROM assignments) AS store_id, ((row_number() OVER (ORDER BY uuid) - 1) // 100)::BIGINT AS chunk FROM clips)
+SELECT n.uuid, n.store_id, n.chunk, cur.uuid IS NOT NULL AS labeled, coalesce(cur.rev, 0) AS rev, coalesce(cur.labeler.name, cur.labeler.id) AS labeler, created_by, created_at, cur.updated_at, authors, cl.user_id AS claimed_by, st.user_id AS assignee
+FROM n LEFT JOIN cur ON cur.uuid = n.uuid LEFT JOIN f ON f.uuid = n.uuid LEFT JOIN a ON a.uuid = n.uuid LEFT JOIN cl ON cl.uuid = n.uuid LEFT JOIN st ON st.store_id = n.store_id AND st.chunk = n.chunk"""
+SQL |= {name: SQL[name].replace("(VIEW)", f"({_VIEW})") for name in ("clip_view", "user_counts")}
