@@ -53,3 +53,31 @@ def overlap(df: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
     """For each group: rows, keys, and rows beyond the first of their key."""
     per = df.groupBy(*by, *[k for k in keys if k not in by]).agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy(*by).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"), F.sum(F.col("n") - 1).alias("n_duplicates"))
+
+
+def allowed(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows whose uuid is in a list (uuid, pos), with pos, the place in the list where it stands first."""
+    first = wanted.where("uuid IS NOT NULL").groupBy("uuid").agg(F.min("pos").alias("pos"))
+    return rows.join(first, "uuid")
+
+
+def in_dataset_order(rows: DataFrame, positions: DataFrame) -> DataFrame:
+    """rows with pos of their uuid in the data set (uuid, pos); those it doesn't have come last, at its size, and rank orders them all."""
+    known = positions.groupBy("uuid").agg(F.min("pos").alias("pos"))
+    n = positions.agg(F.count_distinct("uuid")).first()[0]
+    return rows.join(known, "uuid", "left").withColumn("pos", F.coalesce("pos", F.lit(n)))
+
+
+def upsert_config(runs: DataFrame, starts: DataFrame) -> DataFrame:
+    """run_id, key, at, resumes: run configurations (the same columns) after starts (run_id, key map, at), at most one of a run.
+
+    A run that is known keeps its configuration and gets at among its resumes, if its key is
+    the same; one with another key stays as it is (config_diff says how they differ).
+    """
+    s = starts.select("run_id", F.col("key").alias("_key"), F.col("at").alias("_at"))
+    both = runs.join(s, "run_id", "full_outer")
+    entries = lambda m: F.array_sort(F.map_entries(m))
+    again = F.col("key").isNotNull() & entries("key").eqNullSafe(entries("_key"))
+    none = F.array().cast(runs.schema["resumes"].dataType)
+    resumes = F.concat(F.coalesce("resumes", none), F.when(again, F.array("_at")).otherwise(none))
+    return both.select("run_id", F.coalesce("key", "_key").alias("key"), F.coalesce("at", "_at").alias("at"), resumes.alias("resumes"))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STOP_SPEED = 0.5
+# fixed values: bounds of described motion, in m/s, m/s^2 and degrees
+CREEP_SPEED, HARD_BRAKE, TURN, STEADY_KMH, PAUSE_S, STILL_S = 2.0, -3.0, 15.0, 5.0, 2.0, 0.5
 
 
 def _by_time(*keys: str):
@@ -121,6 +123,19 @@ def yaw_degrees(qx: Column, qy: Column, qz: Column, qw: Column) -> Column:
     return F.atan2(2 * (qw * qz + qx * qy), 1 - 2 * (qy * qy + qz * qz)) * (180 / pi)
 
 
+def into_camera(point: Sequence[Column], quaternion: Sequence[Column], place: Sequence[Column]) -> list[Column]:
+    """x, y, z of a vehicle's point as a camera sees it, that stands at place and is turned by the quaternion (x, y, z, w; of any length)."""
+    n = F.sqrt(sum((q * q for q in quaternion[1:]), quaternion[0] * quaternion[0]))
+    x, y, z, w = (q / n for q in quaternion)
+    d = [p - t for p, t in zip(point, place, strict=True)]
+    axes = [
+        (1 - 2 * (y * y + z * z), 2 * (x * y + z * w), 2 * (x * z - y * w)),
+        (2 * (x * y - z * w), 1 - 2 * (x * x + z * z), 2 * (y * z + x * w)),
+        (2 * (x * z + y * w), 2 * (y * z - x * w), 1 - 2 * (x * x + y * y)),
+    ]  # the camera's axes in the vehicle's system
+    return [a * d[0] + b * d[1] + c * d[2] for a, b, c in axes]
+
+
 def polynomial(coefficients: Column, x: Column) -> Column:
     """A polynomial by Horner's rule, lowest power first."""
     return F.aggregate(F.reverse(coefficients), F.lit(0.0), lambda acc, c: acc * x + c)
@@ -133,3 +148,44 @@ def fisheye(x: Column, y: Column, z: Column, poly: Column, cx: Column, cy: Colum
     r = polynomial(poly, theta)
     scale = F.when(flat > 0, r / flat).otherwise(F.lit(0.0))
     return F.struct((cx + x * scale).alias("u"), (cy + y * scale).alias("v"), ((theta <= max_angle) & (z > 0)).alias("visible"))
+
+
+def _whole(v: Column) -> Column:
+    """A number as text without decimals, halves to the even one."""
+    return F.bround(v, 0).cast("bigint").cast("string")
+
+
+def described(summaries: DataFrame) -> DataFrame:
+    """uuid, behaviour, speed_range and motion in words, of what summary gives.
+
+    behaviour says, in this order of choice, that the vehicle stopped, set off, kept its
+    speed, or between which speeds it went; then how it braked and turned, and how long it
+    stood if it didn't stop for good.
+    """
+    c = F.col
+    start, end, low, high = c("speed_start"), c("speed_end"), c("speed_min"), c("speed_max")
+    stop, creep = STOP_SPEED * 3.6, CREEP_SPEED * 3.6
+    stopped, left = (start >= creep) & (end < stop), (start < stop) & (end >= creep)
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    core = (
+        F.when(stopped, text("the ego-vehicle slowed from ", _whole(start), " km/h and came to a stop"))
+        .when(left, text("the ego-vehicle pulled away from a stop to ", _whole(end), " km/h"))
+        .when(high - low < STEADY_KMH, text("the ego-vehicle held a steady ", _whole(high), " km/h"))
+        .otherwise(text("the ego-vehicle went from ", _whole(start), " to ", _whole(end), " km/h (range ", _whole(low), "-", _whole(high), " km/h)"))
+    )
+    tenth = F.format_string("%.1f", F.bround(F.abs("min_ax") * 10, 0) / 10)
+    braked = F.when(c("min_ax") < HARD_BRAKE, text(", with a peak deceleration of ", tenth, " m/s^2 about ", _whole(c("t_min_ax")), " s in")).otherwise("")
+    turned = F.when(F.abs("heading_delta") >= TURN, text(", and turned ", F.when(c("heading_delta") > 0, "left").otherwise("right"), " by ", _whole(F.abs("heading_delta")), " degrees")).otherwise("")
+    stood = F.when((c("stopped_s") >= PAUSE_S) & ~stopped, text(" It was stationary for about ", _whole(c("stopped_s")), " s of that.")).otherwise("")
+    behaviour = text("Over these ", _whole(c("span_s")), " seconds ", core, braked, turned, ".", stood)
+    motion = F.when(c("stopped_s") >= c("span_s") - STILL_S, "stopped").otherwise("moving")
+    return summaries.select("uuid", behaviour.alias("behaviour"), text(_whole(low), "-", _whole(high)).alias("speed_range"), motion.alias("motion"))
+
+
+def coverage(clips: DataFrame, **sources: DataFrame) -> DataFrame:
+    """One row: n clips, and for each source (uuid) how many it knows and their per cent."""
+    rows = clips.select("uuid").distinct()
+    for name, source in sources.items():
+        rows = rows.join(source.select("uuid", F.lit(True).alias(f"_{name}")).distinct(), "uuid", "left")
+    n = F.count(F.lit(1))
+    return rows.agg(n.alias("n"), *[x for name in sources for x in (F.count(f"_{name}").alias(f"with_{name}"), F.try_divide(100 * F.count(f"_{name}"), n).alias(f"percent_{name}"))])

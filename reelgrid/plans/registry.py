@@ -35,6 +35,7 @@ QUOTIENTS: dict[str, str] = {
     "class_frequency_gui": "share_all share_special",
     "overview": "mean_classes",
     "ego_summary": "span_s speed_start speed_end speed_min speed_max min_ax max_ax t_min_ax t_speed_min stopped_s heading_delta",
+    "ego_coverage": "percent_store percent_mirror",
     "unwrap_heading": "turn heading",
     "ego_window_join": "speed",
     "asof_backward": "speed",

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelgrid.functions import model_text
 from reelgrid.functions.text import key_text
 from reelgrid.functions.times import epoch_us
-from reelgrid.operators import changes, labelstore, lineage, numbering, spans, tensors, timeseries
+from reelgrid.operators import changes, labelstore, lineage, merge, numbering, spans, tensors, timeseries
 from reelgrid.operators import evaluate as ev
 from reelgrid.plans.evaluation import BEST
 from reelgrid.session import scratch, table
@@ -158,6 +159,17 @@ def ego_summary(spark: SparkSession, sf: str) -> DataFrame:
     return timeseries.summary(_samples(spark, sf))
 
 
+def ego_described(spark: SparkSession, sf: str) -> DataFrame:
+    """Each series in words."""
+    return timeseries.described(timeseries.summary(_samples(spark, sf)))
+
+
+def ego_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """How many clips the label store and its mirror know."""
+    label = lambda name: _current(spark, sf, name).select("uuid")
+    return timeseries.coverage(_clips(spark, sf), store=label("labels_store"), mirror=label("labels_mirror"))
+
+
 def unwrap_heading(spark: SparkSession, sf: str) -> DataFrame:
     """Heading along each series."""
     return timeseries.heading(_samples(spark, sf)).select("uuid", "t_us", "turn", "heading")
@@ -201,6 +213,19 @@ def path_gradient(spark: SparkSession, sf: str) -> DataFrame:
     return timeseries.gradient(_samples(spark, sf), "x")
 
 
+def allow_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Clips with results that the mirror lists, in the list's order."""
+    listed = numbering.global_row_number(_current(spark, sf, "labels_mirror").select("uuid"), [F.desc("uuid")], "pos")
+    return merge.allowed(_clips(spark, sf), listed)
+
+
+def reason_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Reasons of results under the class that begins them."""
+    names = [r.class_name for r in table(spark, sf, "taxonomy").where("group_name = 'Dynamic object'").orderBy("class_pos").collect()]
+    df = table(spark, sf, "clip_results").select("run_id", "uuid", "shard_no", "loaded_at", F.explode(model_text.reason_parts(F.col("score_reason"), names)).alias("p"))
+    return df.select("run_id", "uuid", "shard_no", "loaded_at", "p.name", "p.text")
+
+
 def per_class_quota(spark: SparkSession, sf: str) -> DataFrame:
     """The first three special clips of each run, shard and class cell."""
     best = ev.best_results(table(spark, sf, "clip_results").select("run_id", "uuid", "shard_no", "loaded_at", "n_frames", "verdict", "classes"))
@@ -284,7 +309,7 @@ def span_snap(spark: SparkSession, sf: str) -> DataFrame:
     return spans.snap(spans.read_scored(rows), ["run_id", "uuid", "shard_no", "loaded_at", "class_name"])
 
 
-_ALL = (span_snap, history_fold, history_diff, poll_since, label_meta, progress_counts, assignment_summary, auto_assign, next_unlabeled, clip_list_page, active_claims, save_conflicts, import_counts, label_patch, label_errors, label_mismatches, clip_view, user_counts, assignment_log, unassigned_chunks, ego_summary, unwrap_heading, stopped_seconds_2hz, ego_window_join, asof_backward, asof_forward, future_horizon, valid_segments, path_gradient, per_class_quota, chunking, shard_stride_antijoin, text_fingerprint, index_fingerprint, index_last_wins, source_priority, config_diff, attention_ratio, spatial_means, sink_mask, sink_summary, decision_margin)
+_ALL = (span_snap, history_fold, history_diff, poll_since, label_meta, progress_counts, assignment_summary, auto_assign, next_unlabeled, clip_list_page, active_claims, save_conflicts, import_counts, label_patch, label_errors, label_mismatches, clip_view, user_counts, assignment_log, unassigned_chunks, ego_summary, ego_described, ego_coverage, allow_list, reason_parts, unwrap_heading, stopped_seconds_2hz, ego_window_join, asof_backward, asof_forward, future_horizon, valid_segments, path_gradient, per_class_quota, chunking, shard_stride_antijoin, text_fingerprint, index_fingerprint, index_last_wins, source_priority, config_diff, attention_ratio, spatial_means, sink_mask, sink_summary, decision_margin)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _EV = "ev AS (SELECT * EXCLUDE (uuid), lower(trim(uuid)) AS uuid FROM labels_store)"
@@ -363,6 +388,22 @@ SELECT store_id, sum(k)::BIGINT AS n_chunks, string_agg(t, ', ' ORDER BY lo) AS
     "ego_summary": f"""WITH {_S}, w AS (SELECT *, coalesce((t_us - lag(t_us) OVER o) / 2e6, 0) + coalesce((lead(t_us) OVER o - t_us) / 2e6, 0) AS wt, yaw_deg - lag(yaw_deg) OVER o AS d, min(t_us) OVER (PARTITION BY uuid) AS t0 FROM s WINDOW o AS (PARTITION BY uuid ORDER BY t_us))
 SELECT uuid, count(*) AS n, (max(t_us) - min(t_us)) / 1e6 AS span_s, arg_min(speed, t_us) * 3.6 AS speed_start, arg_max(speed, t_us) * 3.6 AS speed_end, min(speed) * 3.6 AS speed_min, max(speed) * 3.6 AS speed_max, min(ax) AS min_ax, max(ax) AS max_ax,
   (arg_min(t_us, (ax, t_us)) - min(t_us)) / 1e6 AS t_min_ax, (arg_min(t_us, (speed, t_us)) - min(t_us)) / 1e6 AS t_speed_min, sum(CASE WHEN speed < 0.5 THEN wt ELSE 0 END) AS stopped_s, sum(coalesce(d - 360 * floor((d + 180) / 360), 0)) AS heading_delta FROM w GROUP BY uuid""",
+    "ego_described": f"""WITH SUMMARY, d AS (SELECT *, speed_start >= 7.2 AND speed_end < 1.8 AS halt, speed_start < 1.8 AND speed_end >= 7.2 AS go FROM sm)
+SELECT uuid, 'Over these ' || round_even(span_s, 0)::BIGINT || ' seconds ' || CASE WHEN halt THEN 'the ego-vehicle slowed from ' || round_even(speed_start, 0)::BIGINT || ' km/h and came to a stop'
+    WHEN go THEN 'the ego-vehicle pulled away from a stop to ' || round_even(speed_end, 0)::BIGINT || ' km/h' WHEN speed_max - speed_min < 5 THEN 'the ego-vehicle held a steady ' || round_even(speed_max, 0)::BIGINT || ' km/h'
+    ELSE 'the ego-vehicle went from ' || round_even(speed_start, 0)::BIGINT || ' to ' || round_even(speed_end, 0)::BIGINT || ' km/h (range ' || round_even(speed_min, 0)::BIGINT || '-' || round_even(speed_max, 0)::BIGINT || ' km/h)' END
+  || CASE WHEN min_ax < -3 THEN ', with a peak deceleration of ' || printf('%.1f', round_even(abs(min_ax) * 10, 0) / 10) || ' m/s^2 about ' || round_even(t_min_ax, 0)::BIGINT || ' s in' ELSE '' END
+  || CASE WHEN abs(heading_delta) >= 15 THEN ', and turned ' || CASE WHEN heading_delta > 0 THEN 'left' ELSE 'right' END || ' by ' || round_even(abs(heading_delta), 0)::BIGINT || ' degrees' ELSE '' END || '.'
+  || CASE WHEN stopped_s >= 2 AND NOT halt THEN ' It was stationary for about ' || round_even(stopped_s, 0)::BIGINT || ' s of that.' ELSE '' END AS behaviour,
+  round_even(speed_min, 0)::BIGINT || '-' || round_even(speed_max, 0)::BIGINT AS speed_range, CASE WHEN stopped_s >= span_s - 0.5 THEN 'stopped' ELSE 'moving' END AS motion FROM d""",
+    "ego_coverage": f"""WITH {_CLIPS}, {_CUR.format('cur', 'labels_store')}, {_CUR.format('mir', 'labels_mirror')}
+SELECT count(*) AS n, count(c.uuid) AS with_store, 100 * count(c.uuid) / count(*) AS percent_store, count(m.uuid) AS with_mirror, 100 * count(m.uuid) / count(*) AS percent_mirror FROM clips LEFT JOIN cur c ON c.uuid = clips.uuid LEFT JOIN mir m ON m.uuid = clips.uuid""",
+    "allow_list": f"WITH {_CLIPS}, {_CUR.format('mir', 'labels_mirror')}, l AS (SELECT uuid, row_number() OVER (ORDER BY uuid DESC) AS pos FROM mir) SELECT uuid, pos FROM clips JOIN l USING (uuid)",
+    "reason_parts": r"""WITH p AS (SELECT run_id, uuid, shard_no, loaded_at, row_number() OVER () AS id, string_split(score_reason, ' | ') AS ps FROM clip_results WHERE score_reason IS NOT NULL),
+e AS (SELECT * EXCLUDE (ps), unnest(list_transform(ps, lambda x: trim(x))) AS part, unnest(range(len(ps))) AS i FROM p), n AS (SELECT * FROM e WHERE part <> ''),
+h AS (SELECT n.*, t.class_name AS head, sum((t.class_name IS NOT NULL)::INT) OVER (PARTITION BY id ORDER BY i) AS k FROM n LEFT JOIN (SELECT class_name FROM taxonomy WHERE group_name = 'Dynamic object') t ON starts_with(part, t.class_name || ':'))
+SELECT run_id, uuid, shard_no, loaded_at, max(head) AS name, string_agg(CASE WHEN head IS NULL THEN part ELSE trim(part[length(head) + 2:]) END, ' ' ORDER BY i) AS text FROM h WHERE k > 0 GROUP BY id, run_id, uuid, shard_no, loaded_at, k
+UNION ALL SELECT run_id, uuid, shard_no, loaded_at, NULL, part FROM h WHERE k = 0""",
     "unwrap_heading": f"WITH {_S}, d AS (SELECT uuid, t_us, yaw_deg - lag(yaw_deg) OVER (PARTITION BY uuid ORDER BY t_us) AS d FROM s), t AS (SELECT uuid, t_us, coalesce(d - 360 * floor((d + 180) / 360), 0) AS turn FROM d) SELECT *, sum(turn) OVER (PARTITION BY uuid ORDER BY t_us ROWS UNBOUNDED PRECEDING) AS heading FROM t",
     "stopped_seconds_2hz": f"WITH {_S} SELECT uuid, t_us, coalesce(t_us - lag(t_us) OVER o, 0) + coalesce(lead(t_us) OVER o - t_us, 0) AS half_us FROM s WINDOW o AS (PARTITION BY uuid ORDER BY t_us)",
     "ego_window_join": f"""WITH {_S}, r AS (SELECT uuid, min(t_us) AS f, max(t_us) AS l FROM s GROUP BY uuid), w AS (SELECT uuid, t_us - 15000000 AS beg, t_us + 15000000 AS "end" FROM s WHERE event_type = 'purchase'),
@@ -403,3 +444,4 @@ n AS (SELECT uuid, (SELECT min(store_id) FROM assignments) AS store_id, ((row_nu
 SELECT n.uuid, n.store_id, n.chunk, cur.uuid IS NOT NULL AS labeled, coalesce(cur.rev, 0) AS rev, coalesce(cur.labeler.name, cur.labeler.id) AS labeler, created_by, created_at, cur.updated_at, authors, cl.user_id AS claimed_by, st.user_id AS assignee
 FROM n LEFT JOIN cur ON cur.uuid = n.uuid LEFT JOIN f ON f.uuid = n.uuid LEFT JOIN a ON a.uuid = n.uuid LEFT JOIN cl ON cl.uuid = n.uuid LEFT JOIN st ON st.store_id = n.store_id AND st.chunk = n.chunk"""
 SQL |= {name: SQL[name].replace("(VIEW)", f"({_VIEW})") for name in ("clip_view", "user_counts")}
+SQL["ego_described"] = SQL["ego_described"].replace("SUMMARY", f"sm AS ({SQL['ego_summary']})")

@@ -11,6 +11,7 @@ import io
 import json
 from collections.abc import Iterator, Mapping, Sequence
 from pathlib import PurePosixPath
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,8 +75,9 @@ def read_label_documents(spark: SparkSession, path: str, groups: Sequence[str] =
     """
     docs = _doc(spark, path).where("doc IS NOT NULL")
     clips = F.coalesce(F.try_variant_get("doc", "$.clips", "variant"), F.col("doc"))
-    docs.select("file", clips.alias("clips")).createOrReplaceTempView("_label_documents")
-    each = spark.sql("SELECT file, key AS uuid, value AS v FROM _label_documents, LATERAL variant_explode(clips)").where("schema_of_variant(v) LIKE 'OBJECT%' AND uuid <> '_meta'")
+    view = f"_documents_{uuid4().hex}"
+    docs.select("file", clips.alias("clips")).createOrReplaceTempView(view)
+    each = spark.sql(f"SELECT file, key AS uuid, value AS v FROM {view}, LATERAL variant_explode(clips)").where("schema_of_variant(v) LIKE 'OBJECT%' AND uuid <> '_meta'")
     get = lambda p, t: F.try_variant_get("v", p, t)
     classes = F.coalesce(get("$.classes", "variant"), get("$.categories", "variant"))
     kind = F.schema_of_variant(classes)
@@ -195,6 +197,17 @@ def zip_index(spark: SparkSession, folder: str, suffix: str = ".mp4") -> DataFra
     return every.groupBy("view", "uuid").agg(F.max_by(F.struct("path", "member"), F.struct("chunk_no", "path")).alias("r")).select("view", "uuid", "r.path", "r.member")
 
 
+def lookup(index: DataFrame, uuids: Sequence[str], view: str = "") -> DataFrame:
+    """Entries of an index for these clips, of one view if given; the filter reaches the scan."""
+    found = index.where(F.col("uuid").isin(*uuids))
+    return found.where(F.col("view") == view) if view else found
+
+
+def keys_of(index: DataFrame, view: str) -> DataFrame:
+    """uuid of the clips that a view has, in order, each once."""
+    return index.where(F.col("view") == view).select("uuid").distinct().orderBy("uuid")
+
+
 def member_bytes(path: str, member: str) -> bytes:
     """One member of a zip, read where it lies; for user functions on executors."""
     import zipfile
@@ -220,6 +233,30 @@ def append_results(rows: DataFrame, folder: str) -> None:
     rows.write.mode("append").parquet(folder)
 
 
+def write_merged(rows: DataFrame, shards: str, out: str) -> str:
+    """Write rows, sorted by uuid, as the table out, then delete the shards they were read from.
+
+    The table is written aside and gets its name by one rename, before anything is deleted;
+    an older table of that name stays until then.  rows mustn't be read again afterwards.
+    """
+    spark = rows.sparkSession
+    aside = f"{out}.new-{uuid4().hex}"
+    rows.orderBy("uuid").write.option("header", True).option("escape", '"').option("emptyValue", "").csv(aside)
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = path(out).getFileSystem(conf)
+    old = f"{out}.old-{uuid4().hex}"
+    had = fs.exists(path(out))
+    if had and not fs.rename(path(out), path(old)):
+        raise OSError(f"{out} can't be replaced")
+    if not fs.rename(path(aside), path(out)):
+        raise OSError(f"{aside} can't be renamed")
+    if had:
+        fs.delete(path(old), True)
+    for found in fs.globStatus(path(shards)) or []:
+        fs.delete(found.getPath(), True)
+    return out
+
+
 def schema_difference(old: Sequence[str], new: Sequence[str]) -> str:
     """What differs between two lists of columns."""
     gone, come = [c for c in old if c not in new], [c for c in new if c not in old]
