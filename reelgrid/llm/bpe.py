@@ -4,7 +4,8 @@ Texts are split into pre-tokens by array operations (pretokens.py); each distinc
 pre-token is merged once in a worker and then looked up.  Token offsets follow from the
 lengths of the tokens, so every encoding can be decoded and located in its text.
 
-The vocabulary is a file of ranks (base64 of the token's bytes, its id), given by path.
+The vocabulary is a file of ranks (base64 of the token's bytes, its id), given by folder and
+name.  It is sent along with the job for workers that don't have it at that place.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 from reelgrid.llm.pretokens import boundaries
 
@@ -118,6 +121,24 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+#: Forms of vocabulary files.
+SUFFIXES = (".tiktoken", ".model", ".json")
+
+
+def ship(spark: SparkSession, folder: str, tokenizer: str) -> str:
+    """The path of a tokenizer's file, which is sent along for workers that don't have it there."""
+    path = next((p for p in (f"{folder}/{tokenizer}{x}" for x in SUFFIXES) if Path(p).exists()), None)
+    if path is None:
+        raise FileNotFoundError(f"no file of {tokenizer} in {folder}")
+    spark.sparkContext.addFile(path)
+    return path
+
+
+def arrived(path: str) -> str:
+    """Where a worker finds a file that was sent along: at its path, else in the job's files."""
+    return path if Path(path).exists() else SparkFiles.get(Path(path).name)
+
+
 def blocks(texts: list[str | None], size: int = BLOCK) -> Iterator[list[str]]:
     """Whole texts in blocks of about size characters; null becomes the empty text."""
     block, held = [], 0
@@ -139,11 +160,11 @@ def encode(docs: DataFrame, *, tokenizer: str = "byte_bpe_50k", folder: str = TO
     empty list).  Strings that look like special tokens are ordinary text.  Other columns
     aren't read.
     """
-    path = f"{folder}/{tokenizer}.tiktoken"
+    path = ship(docs.sparkSession, folder, tokenizer)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe(path)
+        bpe = byte_bpe(arrived(path))
         for b in batches:
             done = 0
             for block in blocks(b.column("text").to_pylist()):

@@ -22,7 +22,6 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping
 from functools import partial
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from reelgrid.llm.bpe import TOKENIZERS, blocks, byte_bpe
+from reelgrid.llm.bpe import TOKENIZERS, arrived, blocks, byte_bpe, ship
 from reelgrid.llm.pieces import pieces
 from reelgrid.session import cut
 
@@ -43,15 +42,16 @@ MAX_TARGETS = 1_000
 PLACED = "target_id int, container_id bigint, pos int, doc_id {id}, piece_no int, from_token bigint, n_tokens int"
 
 
-def counter(tokenizer: str, folder: str):
-    """A function from texts to token counts, for a tokenizer of the folder."""
-    if (Path(folder) / f"{tokenizer}.tiktoken").exists():
-        return byte_bpe(f"{folder}/{tokenizer}.tiktoken").count
-    if (Path(folder) / f"{tokenizer}.model").exists():
-        return pieces(f"{folder}/{tokenizer}.model").count
+def counter(path: str):
+    """A function from texts to token counts, for a tokenizer's file."""
+    path = arrived(path)
+    if path.endswith(".tiktoken"):
+        return byte_bpe(path).count
+    if path.endswith(".model"):
+        return pieces(path).count
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(f"{folder}/{tokenizer}.json")
+    t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
     return lambda texts: np.array([len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)], np.int64)
 
@@ -59,8 +59,10 @@ def counter(tokenizer: str, folder: str):
 def token_sizes(docs: DataFrame, tokenizers: list[str], folder: str = TOKENIZERS) -> DataFrame:
     """doc_id, source and sizes (tokens by each tokenizer); null texts have none, null sources are ''."""
 
+    paths = [ship(docs.sparkSession, folder, t) for t in tokenizers]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = [counter(t, folder) for t in tokenizers]
+        count = [counter(p) for p in paths]
         for b in batches:
             done = 0
             for block in blocks(b.column("text").to_pylist()):

@@ -29,14 +29,9 @@ def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """Containers, tokens and used share for each pack target."""
-    return packing.fill_report(p7_packed(spark, sf), table(spark, sf, "pack_targets"))
-
-
-def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    """How far windows are from the corpus' proportions of sources, for each pack target."""
+    """Containers, tokens and used share for each pack target, and how far windows are from the corpus' proportions of sources."""
     placed = cut(p7_packed(spark, sf))
-    return packing.mixture_report(placed, table(spark, sf, "documents"))
+    return packing.fill_report(placed, table(spark, sf, "pack_targets")).join(packing.mixture_report(placed, table(spark, sf, "documents")), "target_id", "left")
 
 
 def p7_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +45,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return spam.searcher_pages(table(spark, sf, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_rates, p6_ids, p7_packed, p7_fill, p7_mixture, p7_rules, p8_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_rates, p6_ids, p7_packed, p7_fill, p7_rules, p8_found)}
 SQL: dict[str, str] = {
     "p7_rules": "SELECT target_id, (SELECT count(DISTINCT doc_id) FROM documents) AS n_documents, 0::BIGINT AS n_missing, 0::BIGINT AS n_double, 0::BIGINT AS n_overfull, 0::BIGINT AS n_divided FROM pack_targets WHERE tokenizer IS NOT NULL AND capacity > 0",
 }

@@ -149,3 +149,13 @@ def test_packed_tables(spark):
     assert {r.target_id for r in out} == {1, 2, 3}
     assert packing.pack_documents(docs.limit(0), targets).count() == 0
     assert packing.pack_documents(docs, targets.limit(0)).count() == 0
+
+
+def test_vocabulary_is_sent_along(spark):
+    from reelgrid.llm.bpe import arrived, ship
+
+    ship(spark, HERE, "byte_bpe_50k")
+    there = "/nowhere/byte_bpe_50k.tiktoken"
+    assert spark.range(1).mapInPandas(lambda it: (b.assign(id=len(open(arrived(there)).readline()) > 0) for b in it), "id boolean").first().id
+    with pytest.raises(FileNotFoundError):
+        ship(spark, HERE, "missing")
