@@ -314,3 +314,11 @@ def missing_clips(results: DataFrame, labels: DataFrame) -> DataFrame:
     """uuid of labelled clips that no run has."""
     have = results.select(key_text(F.col("uuid")).alias("uuid"))
     return labels.where("class_list IS NOT NULL").select(key_text(F.col("uuid")).alias("uuid")).distinct().join(have, "uuid", "left_anti")
+
+
+def score_fields(taxonomy: DataFrame, own: Sequence[str] = ()) -> DataFrame:
+    """field, group_name, place of the scores a model is asked for: each group in order, then those of its classes that have a scale of their own."""
+    groups = taxonomy.where("group_name IS NOT NULL").groupBy("group_name").agg(F.min("group_pos").alias("gp")).select(F.col("group_name").alias("field"), "group_name", "gp", F.lit(-1).alias("cp"))
+    classes = taxonomy.where(F.col("class_name").isin(*own)).select(F.col("class_name").alias("field"), "group_name", F.col("group_pos").alias("gp"), F.col("class_pos").alias("cp"))
+    order = Window.orderBy("gp", "cp", "field")  # the taxonomy is small and fixed
+    return groups.unionByName(classes).select("field", "group_name", F.row_number().over(order).alias("place"))

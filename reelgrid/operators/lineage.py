@@ -59,3 +59,10 @@ def log_errors(lines: DataFrame, marks: Sequence[str] = ERROR_MARKS) -> DataFram
 def latest(runs: DataFrame, path: str, changed: str) -> DataFrame:
     """The path of the newest run; of equally new ones the first by name."""
     return runs.agg(F.max_by(path, F.struct(F.col(changed))).alias(path))
+
+
+def log_progress(lines: DataFrame, pattern: str = r"(\d+)\s*/\s*(\d+)") -> DataFrame:
+    """file, done, total, tail: how far each log (file, pos, line) says its job is, by the last line that says so, and its last line that isn't blank."""
+    said = F.when(F.col("line").rlike(pattern), F.struct(F.regexp_extract("line", pattern, 1).try_cast("bigint").alias("done"), F.regexp_extract("line", pattern, 2).try_cast("bigint").alias("total")))
+    per = lines.where(F.trim("line") != "").groupBy("file").agg(F.max_by(said, F.when(said.isNotNull(), F.col("pos"))).alias("r"), F.max_by("line", "pos").alias("tail"))
+    return per.select("file", "r.done", "r.total", "tail")

@@ -37,3 +37,9 @@ def in_chunks(df: DataFrame, order: Sequence[Column], size: int = 100) -> DataFr
 def quota(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of each group; Spark keeps only n rows of a group in each task before the shuffle."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def revisions(events: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """events with seq, their place among all, and rev, that among their uuid's, both from 1 in a total order."""
+    placed = global_row_number(events, order, "seq")
+    return placed.withColumn("rev", F.row_number().over(Window.partitionBy("uuid").orderBy("seq")))

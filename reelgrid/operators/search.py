@@ -105,3 +105,18 @@ def search_labels(labels: DataFrame, facets: Facets, predictions: DataFrame | No
     if facets.outcome and predictions is not None:
         rows = rows.join(predictions.select("uuid", "pred"), "uuid", "left").where(outcome(F.col("names"), F.col("pred"), facets.outcome))
     return _first(rows.select("uuid", "names", "score_max", "note").orderBy(F.desc(F.coalesce("score_max", F.lit(0))), "uuid"), facets.limit)
+
+
+def details(best: DataFrame, labels: DataFrame) -> DataFrame:
+    """run_id, uuid, has_label, truth, names, tier, reason of every prediction beside its label, if there is one; no label isn't a label without classes.
+
+    best and labels have uuid in one form.
+    """
+    truth = labels.select("uuid", F.array_sort(F.array_distinct(F.coalesce("class_list", F.array().cast("array<string>")))).alias("truth"))
+    rows = best.select("run_id", "uuid", split_classes(F.col("classes")).alias("names"), F.col("tier_score").alias("tier"), F.col("score_reason").alias("reason")).join(truth, "uuid", "left")
+    return rows.select("run_id", "uuid", F.col("truth").isNotNull().alias("has_label"), "truth", "names", "tier", "reason")
+
+
+def worth_showing(best: DataFrame, least: int = 2) -> DataFrame:
+    """Special predictions whose score isn't known or at least so high."""
+    return best.where((F.col("verdict") == "Special") & (F.col("tier_score").isNull() | (F.col("tier_score") >= least)))

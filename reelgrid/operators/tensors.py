@@ -57,3 +57,14 @@ def runs_of(cells: DataFrame, keep, by: str, pos: str) -> DataFrame:
     kept = cells.where(keep).select(by, pos).withColumn("_g", F.col(pos) - F.row_number().over(Window.partitionBy(by).orderBy(pos)))
     runs = kept.groupBy(by, "_g").agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first"))
     return runs.select(by, (F.row_number().over(Window.partitionBy(by).orderBy("first")) - 1).alias("run"), "n", "first")
+
+
+def token_regions(tokens: DataFrame, regions: DataFrame) -> DataFrame:
+    """doc, name, tok: the tokens (doc, pos, text) that overlap each region of a text (doc, name, start, end: characters from 0, end not in it).
+
+    A token's place follows from the lengths of those before it; a text and its regions are
+    joined by doc, and lie in one row's reach of each other.
+    """
+    upto = F.sum(F.length("text")).over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    placed = tokens.select("doc", F.col("pos").alias("tok"), (upto - F.length("text")).alias("_from"), upto.alias("_to"))
+    return placed.join(regions, "doc").where("_from < end AND _to > start AND start < end").select("doc", "name", "tok")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrid.functions import answers, chunks, packed
+from reelgrid.functions.text import key_text
 from reelgrid.operators import aggregate as ag
 from reelgrid.operators import evaluate as ev
 from reelgrid.operators import recheck, search
@@ -136,6 +137,27 @@ def recheck_open(spark: SparkSession, sf: str) -> DataFrame:
     return recheck.open_questions(_best(spark, sf, "classes", "parse_ok", "observation", "ego_behavior", "unusual_elements"), table(spark, sf, "taxonomy"), table(spark, sf, "recheck_answers"))
 
 
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    """The taxonomy with patterns that occur in the test texts."""
+    words = F.when(F.col("class_pos") == 0, F.array(F.lit("lane narrows"), F.lit("car ?park"))).when(F.col("class_pos") == 1, F.array(F.lit("Rain|dim lights"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf, "taxonomy").withColumn("recheck_keywords", words)
+
+
+def recheck_by_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Clips and classes to ask about, by patterns of our own."""
+    return recheck.candidates(_best(spark, sf, "classes", "parse_ok", "observation", "ego_behavior", "unusual_elements"), _words(spark, sf))
+
+
+def recheck_by_words_open(spark: SparkSession, sf: str) -> DataFrame:
+    """These without those that have an answer."""
+    return recheck.open_questions(_best(spark, sf, "classes", "parse_ok", "observation", "ego_behavior", "unusual_elements"), _words(spark, sf), table(spark, sf, "recheck_answers"))
+
+
+def run_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled clips that one run lacks."""
+    return ev.missing_clips(table(spark, sf, "clip_results").where("run_id = '20260614_093000_full'"), table(spark, sf, "labels_store"))
+
+
 def recheck_apply(spark: SparkSession, sf: str) -> DataFrame:
     """Results with the answers worked in."""
     columns = ("verdict", "n_classes", "classes", "group_scores", "field_scores", "tier_score", "score_reason")
@@ -176,7 +198,24 @@ def search_misses(spark: SparkSession, sf: str) -> DataFrame:
     return _outcome(spark, sf, "fn")
 
 
-_ALL = (parse_packed, parse_answers, tier_score, slug_keys, chunk_parse, chunk_format, coerce_scores, distribution, score_counts, class_frequency_cli, class_frequency_gui, classes_per_clip, cooccur_topk, overview, search_mining, search_text, search_labels, search_false_positives, recheck_candidates, recheck_open, recheck_apply, fold_fields, search_all_classes, search_total, search_true_positives, search_misses)
+def clip_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Every prediction beside its label."""
+    best = _best(spark, sf, "classes", "tier_score", "score_reason").withColumn("uuid", key_text(F.col("uuid")))
+    found = search.details(best, ev.current_labels(table(spark, sf, "labels_store").select("uuid", "rev", "updated_at", "class_list")))
+    return found.withColumns({"truth": F.array_join("truth", "|"), "names": F.array_join("names", "|")})
+
+
+def show_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions worth showing."""
+    return search.worth_showing(_best(spark, sf, "verdict", "tier_score")).select("run_id", "uuid", "tier_score")
+
+
+def score_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores that a model is asked for."""
+    return ev.score_fields(table(spark, sf, "taxonomy"), OWN)
+
+
+_ALL = (parse_packed, parse_answers, tier_score, slug_keys, chunk_parse, chunk_format, coerce_scores, distribution, score_counts, class_frequency_cli, class_frequency_gui, classes_per_clip, cooccur_topk, overview, search_mining, search_text, search_labels, search_false_positives, recheck_candidates, recheck_open, recheck_apply, fold_fields, search_all_classes, search_total, search_true_positives, search_misses, clip_detail, show_selection, score_fields, recheck_by_words, recheck_by_words_open, run_gaps)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _KV = """parts AS (SELECT {0}, unnest(string_split(coalesce(group_scores, ''), '|')) AS part, unnest(range(len(string_split(coalesce(group_scores, ''), '|')))) AS i FROM {1}),
@@ -198,6 +237,7 @@ _CAND = """cand AS (
   SELECT run_id, uuid, class_name FROM best, taxonomy
   WHERE n_frames > 0 AND parse_ok = 1 AND trim(coalesce(classes, '')) = ''
     AND regexp_matches(coalesce(observation, '') || ' ' || coalesce(unusual_elements, '') || ' ' || coalesce(ego_behavior, ''), '(?i)' || array_to_string(recheck_keywords, '|')))"""
+_WORDS = _CAND.replace("FROM best, taxonomy", "FROM best, (SELECT class_name, CASE class_pos WHEN 0 THEN ['lane narrows', 'car ?park'] WHEN 1 THEN ['Rain|dim lights'] END AS recheck_keywords FROM taxonomy WHERE class_pos < 2)")
 
 SQL = {
     "parse_packed": f"WITH {_KV.format('run_id, uuid, shard_no, loaded_at', 'clip_results')} SELECT run_id, uuid, shard_no, loaded_at, k, v FROM packed",
@@ -256,6 +296,14 @@ FROM packed p JOIN fb ON p.run_id = fb.run_id AND p.uuid = fb.uuid LEFT JOIN tax
 SELECT b.run_id, b.uuid, array_to_string({_NAMES}, '|') AS names, score_max, illumination, precipitation, road_surface, atmospheric_obscurants FROM best b LEFT JOIN {_TOP} t ON b.run_id = t.run_id AND b.uuid = t.uuid WHERE list_has_all({_NAMES}, ['Roadworks', 'Walker in lane'])""",
     "search_total": f"""WITH {BEST}, {_KV.format('run_id, uuid', 'best')}
 SELECT b.run_id, count(*) AS n FROM best b LEFT JOIN {_TOP} t ON b.run_id = t.run_id AND b.uuid = t.uuid WHERE list_has_any({_NAMES}, ['Roadworks', 'Walker in lane']) AND (score_max IS NULL OR score_max BETWEEN 2 AND 4) AND atmospheric_obscurants >= 1 GROUP BY b.run_id""",
+    "recheck_by_words": f"WITH {BEST}, {_WORDS} SELECT * FROM cand",
+    "recheck_by_words_open": f"WITH {BEST}, {_WORDS} SELECT * FROM cand ANTI JOIN recheck_answers USING (run_id, uuid, class_name)",
+    "run_gaps": "SELECT DISTINCT lower(trim(uuid)) AS uuid FROM labels_store WHERE class_list IS NOT NULL AND lower(trim(uuid)) NOT IN (SELECT lower(trim(uuid)) FROM clip_results WHERE run_id = '20260614_093000_full')",
+    "clip_detail": f"""WITH {BEST}, l AS (SELECT * FROM (SELECT lower(trim(uuid)) AS u, class_list, row_number() OVER (PARTITION BY lower(trim(uuid)) ORDER BY rev DESC, updated_at DESC) AS r FROM labels_store) WHERE r = 1)
+SELECT run_id, lower(trim(uuid)) AS uuid, l.u IS NOT NULL AS has_label, CASE WHEN l.u IS NOT NULL THEN array_to_string(list_sort(list_distinct(coalesce(l.class_list, []))), '|') END AS truth, array_to_string({_NAMES}, '|') AS names, tier_score AS tier, score_reason AS reason FROM best b LEFT JOIN l ON l.u = lower(trim(b.uuid))""",
+    "show_selection": f"WITH {BEST} SELECT run_id, uuid, tier_score FROM best WHERE verdict = 'Special' AND (tier_score IS NULL OR tier_score >= 2)",
+    "score_fields": """WITH f AS (SELECT group_name AS field, group_name, min(group_pos) AS gp, -1 AS cp FROM taxonomy GROUP BY ALL UNION ALL SELECT class_name, group_name, group_pos, class_pos FROM taxonomy WHERE class_name = 'Gravel road')
+SELECT field, group_name, (row_number() OVER (ORDER BY gp, cp, field))::INT AS place FROM f""",
     **{
         name: f"""WITH {PAIRS}, s AS (SELECT u, list_max(list_filter(map_values(group_scores), lambda v: v <> -1)) AS score_max, note FROM lab)
 SELECT uuid, array_to_string(gt, '|') AS names, score_max, note FROM pairs JOIN s ON s.u = uuid WHERE run_id = '20260614_093000_full' AND {test}"""

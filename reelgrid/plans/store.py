@@ -219,6 +219,18 @@ def allow_list(spark: SparkSession, sf: str) -> DataFrame:
     return merge.allowed(_clips(spark, sf), listed)
 
 
+def dataset_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled clips with their place among the clips that have results; others come last."""
+    placed = numbering.global_row_number(_clips(spark, sf), [F.col("uuid")], "pos")
+    return merge.in_dataset_order(_current(spark, sf).select("uuid"), placed)
+
+
+def revisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Label events numbered by time, among all and among those of their clip."""
+    e = _events(spark, sf).groupBy("uuid", "updated_at").agg(F.max("note").alias("note"))
+    return numbering.revisions(e, [F.col("updated_at"), F.col("uuid")])
+
+
 def reason_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Reasons of results under the class that begins them."""
     names = [r.class_name for r in table(spark, sf, "taxonomy").where("group_name = 'Dynamic object'").orderBy("class_pos").collect()]
@@ -309,7 +321,7 @@ def span_snap(spark: SparkSession, sf: str) -> DataFrame:
     return spans.snap(spans.read_scored(rows), ["run_id", "uuid", "shard_no", "loaded_at", "class_name"])
 
 
-_ALL = (span_snap, history_fold, history_diff, poll_since, label_meta, progress_counts, assignment_summary, auto_assign, next_unlabeled, clip_list_page, active_claims, save_conflicts, import_counts, label_patch, label_errors, label_mismatches, clip_view, user_counts, assignment_log, unassigned_chunks, ego_summary, ego_described, ego_coverage, allow_list, reason_parts, unwrap_heading, stopped_seconds_2hz, ego_window_join, asof_backward, asof_forward, future_horizon, valid_segments, path_gradient, per_class_quota, chunking, shard_stride_antijoin, text_fingerprint, index_fingerprint, index_last_wins, source_priority, config_diff, attention_ratio, spatial_means, sink_mask, sink_summary, decision_margin)
+_ALL = (span_snap, history_fold, history_diff, poll_since, label_meta, progress_counts, assignment_summary, auto_assign, next_unlabeled, clip_list_page, active_claims, save_conflicts, import_counts, label_patch, label_errors, label_mismatches, clip_view, user_counts, assignment_log, unassigned_chunks, ego_summary, ego_described, ego_coverage, allow_list, dataset_order, revisions, reason_parts, unwrap_heading, stopped_seconds_2hz, ego_window_join, asof_backward, asof_forward, future_horizon, valid_segments, path_gradient, per_class_quota, chunking, shard_stride_antijoin, text_fingerprint, index_fingerprint, index_last_wins, source_priority, config_diff, attention_ratio, spatial_means, sink_mask, sink_summary, decision_margin)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _EV = "ev AS (SELECT * EXCLUDE (uuid), lower(trim(uuid)) AS uuid FROM labels_store)"
@@ -399,6 +411,8 @@ SELECT uuid, 'Over these ' || round_even(span_s, 0)::BIGINT || ' seconds ' || CA
     "ego_coverage": f"""WITH {_CLIPS}, {_CUR.format('cur', 'labels_store')}, {_CUR.format('mir', 'labels_mirror')}
 SELECT count(*) AS n, count(c.uuid) AS with_store, 100 * count(c.uuid) / count(*) AS percent_store, count(m.uuid) AS with_mirror, 100 * count(m.uuid) / count(*) AS percent_mirror FROM clips LEFT JOIN cur c ON c.uuid = clips.uuid LEFT JOIN mir m ON m.uuid = clips.uuid""",
     "allow_list": f"WITH {_CLIPS}, {_CUR.format('mir', 'labels_mirror')}, l AS (SELECT uuid, row_number() OVER (ORDER BY uuid DESC) AS pos FROM mir) SELECT uuid, pos FROM clips JOIN l USING (uuid)",
+    "dataset_order": f"WITH {_CLIPS}, {_CUR.format('cur', 'labels_store')}, l AS (SELECT uuid, row_number() OVER (ORDER BY uuid) AS pos FROM clips) SELECT cur.uuid, coalesce(pos, (SELECT count(*) FROM clips)) AS pos FROM cur LEFT JOIN l ON l.uuid = cur.uuid",
+    "revisions": f"WITH {_EV}, e AS (SELECT uuid, updated_at, max(note) AS note FROM ev GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY updated_at NULLS FIRST, uuid) AS seq, (row_number() OVER (PARTITION BY uuid ORDER BY updated_at NULLS FIRST))::INT AS rev FROM e",
     "reason_parts": r"""WITH p AS (SELECT run_id, uuid, shard_no, loaded_at, row_number() OVER () AS id, string_split(score_reason, ' | ') AS ps FROM clip_results WHERE score_reason IS NOT NULL),
 e AS (SELECT * EXCLUDE (ps), unnest(list_transform(ps, lambda x: trim(x))) AS part, unnest(range(len(ps))) AS i FROM p), n AS (SELECT * FROM e WHERE part <> ''),
 h AS (SELECT n.*, t.class_name AS head, sum((t.class_name IS NOT NULL)::INT) OVER (PARTITION BY id ORDER BY i) AS k FROM n LEFT JOIN (SELECT class_name FROM taxonomy WHERE group_name = 'Dynamic object') t ON starts_with(part, t.class_name || ':'))

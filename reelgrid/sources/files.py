@@ -208,12 +208,13 @@ def keys_of(index: DataFrame, view: str) -> DataFrame:
     return index.where(F.col("view") == view).select("uuid").distinct().orderBy("uuid")
 
 
-def member_bytes(path: str, member: str) -> bytes:
-    """One member of a zip, read where it lies; for user functions on executors."""
+def member_bytes(path: str, member: str, start: int = 0, length: int = -1) -> bytes:
+    """One member of a zip, or some of its bytes, read where it lies; for user functions on executors."""
     import zipfile
 
-    with zipfile.ZipFile(path) as z:
-        return z.read(member)
+    with zipfile.ZipFile(path) as z, z.open(member) as f:
+        f.seek(start)
+        return f.read(length)
 
 
 # ---------------------------------------------------------------- writing

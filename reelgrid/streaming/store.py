@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT = "seq bigint, ts string, user string, uuid string, action string, rev int, after string"
@@ -25,8 +26,9 @@ def read_log_stream(spark: SparkSession, folder: str, schema: str = EVENT, per_t
 def fold_stream(events: DataFrame) -> DataFrame:
     """The current state of each uuid: its last event by seq, whatever the order of arrival.
 
-    State is one row for each uuid; deletes stay as tombstones, so late older edits can't
-    revive a label.
+    State is one row for each uuid, kept as long as the stream lives: it grows with the number
+    of labels, not of events.  Deletes stay as tombstones, so late older edits can't revive a
+    label.  After a restart the checkpoint says which files were read; files mustn't shrink.
     """
     last = events.groupBy("uuid").agg(F.max_by(F.struct("seq", "action", "user", "after"), "seq").alias("r"), F.count(F.lit(1)).alias("n_events"))
     return last.select("uuid", "r.*", "n_events")
@@ -69,3 +71,25 @@ def claims_stream(claims: DataFrame, ttl_ms: int = 90_000) -> DataFrame:
 def hourly_counts(events: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Events by hour and type, late ones up to a bound."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")
+
+
+class ProgressLog(StreamingQueryListener):
+    """Rows that each stream has read so far, by its name; add it with spark.streams.addListener."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.ended: set[str] = set()
+        self._names: dict[str, str] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self._names[str(event.runId)] = event.name or str(event.id)
+
+    def onQueryProgress(self, event) -> None:
+        name = self._names.get(str(event.progress.runId), event.progress.name or str(event.progress.id))
+        self.rows[name] = self.rows.get(name, 0) + event.progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:
+        """Nothing to count."""
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(self._names.get(str(event.runId), str(event.id)))

@@ -81,3 +81,25 @@ def test_merged_table(spark, tmp_path):
     index = spark.createDataFrame([("f", "b", "p"), ("f", "a", "p"), ("g", "a", "q")], "view string, uuid string, path string")
     assert files.lookup(index, ["a"], "g").collect()[0].path == "q" and files.lookup(index, ["a"]).count() == 2
     assert [r.uuid for r in files.keys_of(index, "f").collect()] == ["a", "b"]
+
+
+def test_tokens_keys_and_timelines(spark):
+    from reelgrid.operators import spans, tensors
+
+    tokens = spark.createDataFrame([("d", i, t) for i, t in enumerate(["The ", "dog", " ran", "."])] + [("e", 0, "x")], "doc string, pos int, text string")
+    regions = spark.createDataFrame([("d", "noun", 4, 7), ("d", "end", 9, 12), ("d", "none", 3, 3), ("e", "all", 0, 9)], "doc string, name string, start int, end int")
+    assert sorted(tuple(r) for r in tensors.token_regions(tokens, regions).collect()) == [("d", "end", 2), ("d", "end", 3), ("d", "noun", 1), ("e", "all", 0)]
+    texts = ['{"a": 1, "b.c" : "x"}', "none", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    assert [r.k for r in df.select(model_text.key_offsets(F.col("t"), ["a", "b.c"]).alias("k")).collect()] == [{"a": 6, "b.c": 17}, {}, {}]
+    ends = spark.createDataFrame([("u", 3.0), ("u", 9.5), ("v", 1.0)], "uuid string, e double")
+    assert {r.uuid: r.until for r in spans.timeline_ends(ends, ["uuid"], 4.0).collect()} == {"u": 9.5, "v": 4.0}
+
+
+def test_progress_of_logs(spark, tmp_path):
+    from reelgrid.operators import lineage
+
+    (tmp_path / "a.log").write_text("start\n10/200 done\r20/200 done\nlast words\n\n")
+    (tmp_path / "b.log").write_text("nothing\n")
+    lines = files.read_lines(spark, str(tmp_path / "*.log"))
+    assert {r.file: (r.done, r.total, r.tail) for r in lineage.log_progress(lines).collect()} == {"a.log": (20, 200, "last words"), "b.log": (None, None, "nothing")}

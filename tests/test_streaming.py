@@ -49,3 +49,20 @@ def test_claims(spark, tmp_path):
         time.sleep(0.5)
     q.stop()
     assert {(r.user_id, r.uuid) for r in spark.table("claims").where("held").collect()} == {("a", "c3"), ("b", "c2")}
+
+
+def test_progress(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/0.json").write_text('{"x": 1}\n{"x": 2}\n')
+    log = store.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        q = spark.readStream.schema("x int").json(str(tmp_path / "in")).writeStream.format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        for _ in range(60):
+            if "counted" in log.ended:
+                break
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(log)
+    assert log.rows == {"counted": 2} and log.ended == {"counted"}
