@@ -81,3 +81,9 @@ def upsert_config(runs: DataFrame, starts: DataFrame) -> DataFrame:
     none = F.array().cast(runs.schema["resumes"].dataType)
     resumes = F.concat(F.coalesce("resumes", none), F.when(again, F.array("_at")).otherwise(none))
     return both.select("run_id", F.coalesce("key", "_key").alias("key"), F.coalesce("at", "_at").alias("at"), resumes.alias("resumes"))
+
+
+def complete(frames: DataFrame, by: Sequence[str], ready: Column, least: int = 36) -> DataFrame:
+    """by, n of the groups that have at least so many frames and all of them ready."""
+    per = frames.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce(ready, F.lit(False))).alias("_ready"))
+    return per.where(F.col("_ready") & (F.col("n") >= least)).drop("_ready")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -68,3 +70,14 @@ def token_regions(tokens: DataFrame, regions: DataFrame) -> DataFrame:
     upto = F.sum(F.length("text")).over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     placed = tokens.select("doc", F.col("pos").alias("tok"), (upto - F.length("text")).alias("_from"), upto.alias("_to"))
     return placed.join(regions, "doc").where("_from < end AND _to > start AND start < end").select("doc", "name", "tok")
+
+
+def write_cells(cells: DataFrame, folder: str) -> None:
+    """Keep tensors in long form, a folder for each layer, so that reading some layers reads no others."""
+    cells.repartition("layer").sortWithinPartitions("layer", "tok", "bucket").write.mode("overwrite").partitionBy("layer").parquet(folder)
+
+
+def read_cells(spark: SparkSession, folder: str, layers: Sequence[int] = ()) -> DataFrame:
+    """tok, layer, bucket, v as they were kept, of some layers or all."""
+    cells = spark.read.parquet(folder).select("tok", "layer", "bucket", "v")
+    return cells.where(F.col("layer").isin(*layers)) if layers else cells

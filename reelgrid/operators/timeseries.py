@@ -7,7 +7,8 @@ running, so a partition is streamed, not held.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 from math import pi
 
 from pyspark.sql import Column, DataFrame, Window
@@ -150,9 +151,23 @@ def fisheye(x: Column, y: Column, z: Column, poly: Column, cx: Column, cy: Colum
     return F.struct((cx + x * scale).alias("u"), (cy + y * scale).alias("v"), ((theta <= max_angle) & (z > 0)).alias("visible"))
 
 
-def _whole(v: Column) -> Column:
-    """A number as text without decimals, halves to the even one."""
-    return F.bround(v, 0).cast("bigint").cast("string")
+# fixed values: the phrases that describe motion
+PHRASES = {
+    "span": "Over these {span_s} seconds ",
+    "stopped": "the ego-vehicle slowed from {speed_start} km/h and came to a stop",
+    "left": "the ego-vehicle pulled away from a stop to {speed_end} km/h",
+    "steady": "the ego-vehicle held a steady {speed_max} km/h",
+    "range": "the ego-vehicle went from {speed_start} to {speed_end} km/h (range {speed_min}-{speed_max} km/h)",
+    "braked": ", with a peak deceleration of {deceleration} m/s^2 about {t_min_ax} s in",
+    "turned": ", and turned {side} by {heading_delta} degrees",
+    "stood": " It was stationary for about {stopped_s} s of that.",
+}
+
+
+def _phrase(name: str, values: Mapping[str, Column]) -> Column:
+    """A phrase with values in it."""
+    parts = re.split(r"\{(\w+)\}", PHRASES[name])
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
 
 
 def described(summaries: DataFrame) -> DataFrame:
@@ -160,26 +175,20 @@ def described(summaries: DataFrame) -> DataFrame:
 
     behaviour says, in this order of choice, that the vehicle stopped, set off, kept its
     speed, or between which speeds it went; then how it braked and turned, and how long it
-    stood if it didn't stop for good.
+    stood if it didn't stop for good.  Numbers are whole, halves go to the even one.
     """
-    c = F.col
-    start, end, low, high = c("speed_start"), c("speed_end"), c("speed_min"), c("speed_max")
+    c, none = F.col, F.lit("")
+    whole = {n: F.bround(F.abs(n), 0).cast("bigint").cast("string") for n in ("span_s", "speed_start", "speed_end", "speed_min", "speed_max", "t_min_ax", "heading_delta", "stopped_s")}
+    values = whole | {"deceleration": F.format_string("%.1f", F.bround(F.abs("min_ax") * 10, 0) / 10), "side": F.when(c("heading_delta") > 0, "left").otherwise("right")}
+    say = lambda name: _phrase(name, values)
     stop, creep = STOP_SPEED * 3.6, CREEP_SPEED * 3.6
-    stopped, left = (start >= creep) & (end < stop), (start < stop) & (end >= creep)
-    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
-    core = (
-        F.when(stopped, text("the ego-vehicle slowed from ", _whole(start), " km/h and came to a stop"))
-        .when(left, text("the ego-vehicle pulled away from a stop to ", _whole(end), " km/h"))
-        .when(high - low < STEADY_KMH, text("the ego-vehicle held a steady ", _whole(high), " km/h"))
-        .otherwise(text("the ego-vehicle went from ", _whole(start), " to ", _whole(end), " km/h (range ", _whole(low), "-", _whole(high), " km/h)"))
-    )
-    tenth = F.format_string("%.1f", F.bround(F.abs("min_ax") * 10, 0) / 10)
-    braked = F.when(c("min_ax") < HARD_BRAKE, text(", with a peak deceleration of ", tenth, " m/s^2 about ", _whole(c("t_min_ax")), " s in")).otherwise("")
-    turned = F.when(F.abs("heading_delta") >= TURN, text(", and turned ", F.when(c("heading_delta") > 0, "left").otherwise("right"), " by ", _whole(F.abs("heading_delta")), " degrees")).otherwise("")
-    stood = F.when((c("stopped_s") >= PAUSE_S) & ~stopped, text(" It was stationary for about ", _whole(c("stopped_s")), " s of that.")).otherwise("")
-    behaviour = text("Over these ", _whole(c("span_s")), " seconds ", core, braked, turned, ".", stood)
+    stopped, left = (c("speed_start") >= creep) & (c("speed_end") < stop), (c("speed_start") < stop) & (c("speed_end") >= creep)
+    core = F.when(stopped, say("stopped")).when(left, say("left")).when(c("speed_max") - c("speed_min") < STEADY_KMH, say("steady")).otherwise(say("range"))
+    braked = F.when(c("min_ax") < HARD_BRAKE, say("braked")).otherwise(none)
+    turned = F.when(F.abs("heading_delta") >= TURN, say("turned")).otherwise(none)
+    stood = F.when((c("stopped_s") >= PAUSE_S) & ~stopped, say("stood")).otherwise(none)
     motion = F.when(c("stopped_s") >= c("span_s") - STILL_S, "stopped").otherwise("moving")
-    return summaries.select("uuid", behaviour.alias("behaviour"), text(_whole(low), "-", _whole(high)).alias("speed_range"), motion.alias("motion"))
+    return summaries.select("uuid", F.concat(say("span"), core, braked, turned, F.lit("."), stood).alias("behaviour"), F.concat_ws("-", values["speed_min"], values["speed_max"]).alias("speed_range"), motion.alias("motion"))
 
 
 def coverage(clips: DataFrame, **sources: DataFrame) -> DataFrame:

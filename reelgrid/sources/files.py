@@ -19,10 +19,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # fixed values: columns of a result table, in order
 RESULT_COLUMNS = (
-    "uuid n_frames verdict n_classes classes parse_ok observation ego_behavior unusual_elements group_scores score_reason tier_score "
-    "ego_speed_kmh ego_motion ego_behavior_measured margin_min margin_mean n_close_tokens illumination illumination_reason precipitation "
-    "precipitation_reason road_surface road_surface_reason atmospheric_obscurants atmospheric_obscurants_reason time_spans field_scores"
-).split()
+    "uuid", "n_frames", "verdict", "n_classes", "classes", "parse_ok", "observation", "ego_behavior",
+    "unusual_elements", "group_scores", "score_reason", "tier_score", "ego_speed_kmh", "ego_motion",
+    "ego_behavior_measured", "margin_min", "margin_mean", "n_close_tokens", "illumination", "illumination_reason",
+    "precipitation", "precipitation_reason", "road_surface", "road_surface_reason", "atmospheric_obscurants",
+    "atmospheric_obscurants_reason", "time_spans", "field_scores",
+)
 # fixed values: former column names
 OLD_NAMES = {"categories": "classes", "n_categories": "n_classes", "category_scores": "class_scores", "category": "class"}
 
@@ -87,6 +89,12 @@ def read_label_documents(spark: SparkSession, path: str, groups: Sequence[str] =
     return each.select("file", "uuid", names.alias("class_list"), scores.alias("class_scores"), group.alias("group_scores"), get("$.weather", "map<string,int>").alias("weather"), get("$.rain_snow_fog", "array<string>").alias("rain_snow_fog"), F.coalesce(get("$.note", "string"), F.lit("")).alias("note"), names.isNull().alias("missing"))
 
 
+def within_scale(labels: DataFrame, scale: Sequence[int] = range(5)) -> DataFrame:
+    """labels whose group scores and class scores off the scale are left out, as for showing them."""
+    keep = lambda c: F.map_filter(c, lambda _, v: v.isin(*scale))
+    return labels.withColumns({c: keep(c) for c in ("group_scores", "class_scores") if c in labels.columns})
+
+
 def labels_with(labels: DataFrame, uuid: str) -> DataFrame:
     """The files that label a clip."""
     return labels.where((F.col("uuid") == uuid) & ~F.col("missing")).select("file").distinct()

@@ -103,3 +103,19 @@ def test_progress_of_logs(spark, tmp_path):
     (tmp_path / "b.log").write_text("nothing\n")
     lines = files.read_lines(spark, str(tmp_path / "*.log"))
     assert {r.file: (r.done, r.total, r.tail) for r in lineage.log_progress(lines).collect()} == {"a.log": (20, 200, "last words"), "b.log": (None, None, "nothing")}
+
+
+def test_kept_tensors_and_complete_scenes(spark, tmp_path):
+    from reelgrid.operators import tensors
+
+    vectors = spark.createDataFrame([(1, [1.0, -2.0, 3.0, 4.0]), (2, [0.0, 1.0, 1.0, 0.0])], "vec_id int, embedding array<float>")
+    cells = tensors.long_form(vectors, 2)
+    tensors.write_cells(cells, str(tmp_path / "cells"))
+    rows = lambda df: sorted(tuple(r) for r in df.select("tok", "layer", "bucket", "v").collect())
+    assert rows(tensors.read_cells(spark, str(tmp_path / "cells"))) == rows(cells)
+    one = tensors.read_cells(spark, str(tmp_path / "cells"), [1])
+    assert rows(one) == rows(cells.where("layer = 1")) and "PartitionFilters: [isnotnull(layer" in one._jdf.queryExecution().toString()
+    frames = spark.createDataFrame([("s", True)] * 3 + [("t", True), ("t", None), ("t", True)] + [("u", True)], "scene string, ok boolean")
+    assert [tuple(r) for r in merge.complete(frames, ["scene"], F.col("ok"), 3).collect()] == [("s", 3)]
+    labels = spark.createDataFrame([("a", {"g": 7, "h": 0}, None)], "uuid string, group_scores map<string,int>, class_scores map<string,int>")
+    assert files.within_scale(labels).first().group_scores == {"h": 0}
