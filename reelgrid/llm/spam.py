@@ -35,16 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters of a block, up to the next blank; a rest of less than half joins the last.
+#: Characters of a block, up to the next blank; a rest of less than a third joins the last.
 BLOCK = 250
 #: Characters from which a paragraph's end is a block's end.
 PARAGRAPH = 30
 #: Spreads below the median ratio from which a block is redundant.
-REDUNDANT = 0.5
+REDUNDANT = 0.4
 #: The ratio below which it is where the corpus has too few pages to tell what is usual.
 UNKNOWN = 0.5
 #: Share of a block's characters in sentences that say something, from which it isn't suspect.
-HELD = 0.5
+HELD = 0.7
 #: Share of a sentence's words that must stand nowhere else on the page for it to say something.
 NEW = 0.34
 #: Share of the text in suspect blocks from which a page is a candidate.
@@ -58,6 +58,12 @@ SHARE = 0.5
 #: Of repeated words: different words after one for each time it stands, and different pairs for
 #: each different word (at least, and for each root of the number of words), from which they are shuffled.
 AFTER, PAIRS, PAIRS_ROOT = 0.62, 1.55, 0.11
+#: Share of such an item's words that must be keywords.
+MOST = 0.5
+#: Words of a page up to which repetition counts from the second time on, else from the third.
+SHORT_PAGE = 60
+#: Items that don't end as sentences, from which they may be shuffled.
+ITEMS = 4
 #: Words of an item that ends as a sentence, up to which it may be a keyword phrase.
 PHRASE = 24
 #: Words of one up to which it may vary around a keyword.
@@ -118,7 +124,7 @@ def blocks(text: str) -> Iterator[str]:
         border = _BORDER.search(text, at + PARAGRAPH, min(end, n))
         if border and n - border.end() > PARAGRAPH:
             end = border.end()
-        elif n - end < BLOCK // 2:
+        elif n - end < BLOCK // 3:
             end = n
         else:
             end = text.find(" ", end, end + 80) + 1 or end
@@ -242,22 +248,24 @@ def _repeated(kept: list[tuple[int, list[str], bool]], title: str, ended_too: bo
     """
     seen = Counter(w for _, words, _ in kept for w in words)
     count = sum(seen.values())
-    again_from = 3 if count > 60 else 2
+    again_from = 3 if count > SHORT_PAGE else 2
     named = {*_words(plain(title))}
     phrases = [words for _, words, ended in kept if ended and len(words) <= PHRASE] if ended_too else []
     free = len(phrases) > 2 and shuffled(phrases, again_from)
     keywords = {w for w, n in _standing(phrases).items() if n >= again_from and w not in named} if free else set()
     short = [p for p in phrases if len(p) <= SHORT]
     central = {w for w, n in _standing(short).items() if n >= 4 and 2 * n > len({*map(frozenset, short)}) and w not in named}
+    items = [words for _, words, ended in kept if not ended and len(words) < 12]
+    items_from = 2 if len(items) >= ITEMS and shuffled(items, 2) else again_from
     drawn = 0
     for size, words, ended in kept:
         n = len(words)
         if ended:
             again = sum(w in keywords for w in words) if n <= PHRASE else 0
             around = sum(seen[w] >= 3 for w in words) if 2 <= n <= SHORT and not central.isdisjoint(words) else 0
-            hit = (again >= 2 and 2 * again >= n) or (around >= 2 and 2 * around > n)
+            hit = (again >= 2 and again >= MOST * n) or (around >= 2 and 2 * around > n)
         else:
-            again = sum(seen[w] >= (again_from if n < 12 else 2) for w in words)
+            again = sum(seen[w] >= (items_from if n < 12 else 2) for w in words)
             hit = again * 2 > n and (n < 12 or again >= 0.6 * n) or (n <= 4 and max(seen[w] for w in words) >= 4)
         if hit:
             drawn += size
@@ -299,7 +307,7 @@ def usual_ratios(docs: DataFrame) -> Usual:
 
     Median and spread (between quartiles) are of pages, each of which has one vote (its mean)
     for a length class.  Language '*' stands for all.  There are at most 678 languages and 20
-    length classes (no block is longer than 1.5 BLOCK + 80), so the result is small whatever
+    length classes (no block is longer than 4/3 BLOCK + 80), so the result is small whatever
     the corpus.
     """
 
