@@ -155,7 +155,7 @@ val AS (SELECT run_id, uuid, what, k, arg_max(v, i) AS v FROM kv WHERE k <> '' A
 v3 AS (SELECT run_id, uuid, max(v) FILTER (what = 'g' AND k = 'Driving environment') AS m0, max(v) FILTER (what = 'f' AND k = 'Driving environment') AS fg, max(v) FILTER (what = 'f' AND k = 'Gravel road') AS fo FROM val GROUP BY ALL),
 d AS (
   SELECT pr.run_id, pr.uuid, gt, cs, fields, why, c.rest, gs['Driving environment'] AS g0, list_has_any(pred, unk) AS dropped, len(list_intersect(pred, list_filter(c.every, lambda x: NOT list_contains(unk, x)))) > 0 AS some_left, len(list_intersect(pred, c.rest)) > 0 AS rest_left, m0, fg, fo,
-    list_has_any(regexp_extract_all(why, 'recheck (.+?): ', 1), c.every) AS asked, coalesce(try_cast(nullif(regexp_extract(why, '(?:^| \| )Gravel road=([0-9]+):', 1), '') AS INT), 0) AS said
+    list_has_any(regexp_extract_all(why, 'recheck (.+?): ', 1), c.every) AS asked, coalesce(try_cast(nullif(regexp_extract(why, '(?:^| [|] )Gravel road=([0-9]+):', 1), '') AS INT), 0) AS said
   FROM pr LEFT JOIN v3 USING (run_id, uuid), c),
 e AS (SELECT *, CASE WHEN m0 IS NOT NULL AND dropped AND NOT some_left THEN 0 ELSE m0 END AS m FROM d WHERE cs IS NOT NULL AND g0 IS NOT NULL AND g0 <> -1 AND m0 IS NOT NULL),
 x AS (
